@@ -54,6 +54,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return per.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size and whole (text hash) in place of the text."""
+    return docs.withColumn("size", text_size(F.col("text"))).withColumn("whole", F.xxhash64("text")).drop("text")
+
+
 def mixed(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, whole (text hash), size, source_size, target, taken for each row of docs (doc_id, text, source).
 
@@ -62,10 +67,15 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights:
     Rows that repeat a doc_id have the same key; they stand next to each other and each
     counts.
     """
+    return mixed_sizes(sized(docs), weight, seed, weights, share, cap)
+
+
+def mixed_sizes(rows: DataFrame, weight: Column | None = None, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The same for rows that carry size and whole instead of the text."""
     w = F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)
     slim = settled(
-        docs.select(
-            "doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("whole"),
+        rows.select(
+            "doc_id", "source", "size", "whole",
             (-F.ln(uniform(F.col("doc_id"), seed)) / w).alias("key"),
         ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
     )
@@ -87,3 +97,10 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     copies = settled(copies.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("source").alias("_from"), "_copies").where("_copies > 0"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_whole")) & F.col("source").eqNullSafe(F.col("_from"))
     return docs.join(copies, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+
+
+def digest(docs: DataFrame, rated: DataFrame, good: float, poor: float) -> DataFrame:
+    """doc_id, size, source_size, target, taken; rated (_rated, _quality) gives documents their weight."""
+    quality = F.when(F.col("_quality") > 0, good).when(F.col("_quality") == 0, poor).otherwise(1.0)
+    rows = sized(docs.select("doc_id", "source", "text")).join(rated, F.col("doc_id") == F.col("_rated"), "left").withColumn("_weight", quality)
+    return mixed_sizes(rows, F.col("_weight")).select("doc_id", "size", "source_size", "target", "taken")

@@ -58,12 +58,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = hi - lo
             h, row = _row_sets(data, offs)
             count = np.bincount(row, minlength=n)
+            salts = np.arange(1, 3, dtype=np.uint64) * B.MULT
             digests, groups, sketch = np.zeros((2, n), np.uint64), np.zeros((n, 2 * GROUPS), np.uint64), np.zeros((n, BINS), np.uint64)
             if len(h):
                 full = np.flatnonzero(count)
                 at = np.concatenate([[0], np.cumsum(count[full])[:-1]])
                 for k in range(2):
-                    digests[k, full] = np.add.reduceat(B.mix(h + np.uint64(k + 1) * B.MULT), at)
+                    digests[k, full] = np.add.reduceat(B.mix(h + salts[k]), at)
                 for g in range(2 * GROUPS):
                     acc = np.zeros(len(full), np.uint64)
                     for r in range(ROWS):

@@ -1,8 +1,9 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lumenstep.plans import modelling, relational  # noqa: F401
+from lumenstep.plans._registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """Fit on labelled documents, then score and explain every one of them."""
+    return QUERIES["score_docs_categorical"](spark, sf_dir)

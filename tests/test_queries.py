@@ -1,0 +1,42 @@
+"""Every registered query against its SQL, or for rows where it has none."""
+
+import math
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from lumenstep.plans.catalogue import ORACLE_SQL, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 5) + 0.0
+    return str(v) if v is not None and not isinstance(v, (int, bool)) else v
+
+
+def rows(names, data):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf_dir, duck, name):
+    df = QUERIES[name](spark, sf_dir)
+    got = df.collect()
+    if name in ORACLE_SQL:
+        want = duck.execute(ORACLE_SQL[name])
+        names = [d[0] for d in want.description]
+        assert sorted(df.columns) == sorted(names)
+        assert rows(df.columns, got) == rows(names, want.fetchall())
+    else:
+        assert got

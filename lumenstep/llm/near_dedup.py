@@ -10,8 +10,9 @@ Candidates are confirmed on the full shingle sets.  Work per bucket stays linear
 
 1. documents with equal sets fold into one representative;
 2. every member of a bucket is checked against the bucket's leader;
-3. only buckets whose members are still in different components compare pairs, and
-   there only pairs across components whose sketches could reach the threshold.
+3. only buckets whose members are still in different components compare pairs, there
+   only pairs across components, each in the first bucket it shares, and of those only
+   pairs whose coarse and fine sketches could reach the threshold.
 
 No bucket is capped.
 """
@@ -35,6 +36,9 @@ PART, OF = 75, 100
 #: Sketch bins, seven one-byte bins to a long so that sums never overflow.
 BINS, PER = 126, 7
 SIGMAS = 6.0
+#: The fine sketch, made only for members of buckets that stay mixed.
+#: A link right at the threshold is lost there with probability 2e-4, below what banding itself may miss.
+FINE_BINS, FINE_SIGMAS = 504, 3.5
 MAX_BROADCAST_IDS = 1_000_000
 
 _SIGNATURE = pa.schema(
@@ -48,6 +52,27 @@ def _row_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return B.distinct(*B.shingles(words, row, len(offs) - 1, SHINGLE))
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+
+def _sketch(h: np.ndarray, row: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """One byte a bin (0: empty) of the least hash in it, seven bins to a long."""
+    none = np.iinfo(np.uint64).max
+    g = B.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    least = np.full(n * bins, none, np.uint64)
+    np.minimum.at(least, row * bins + (g >> np.uint64(32)).astype(np.int64) % bins, g)
+    marks = np.where(least == none, np.uint64(0), np.uint64(1) + (least & np.uint64(0xFFFFFFF)) % np.uint64(255))
+    shifts = np.uint64(8) * np.arange(PER, dtype=np.uint64)
+    return (marks.reshape(n, bins // PER, PER) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offs in B.blocks(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(_sketch(*_row_sets(data, offs), hi - lo, FINE_BINS))], names=["node", "fine"])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n_hash = 2 * GROUPS * ROWS
     odd = B.mix(np.arange(1, n_hash + 1, dtype=np.uint64) * B.MULT) | np.uint64(1)
@@ -59,7 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, row = _row_sets(data, offs)
             count = np.bincount(row, minlength=n)
             salts = np.arange(1, 3, dtype=np.uint64) * B.MULT
-            digests, groups, sketch = np.zeros((2, n), np.uint64), np.zeros((n, 2 * GROUPS), np.uint64), np.zeros((n, BINS), np.uint64)
+            digests, groups = np.zeros((2, n), np.uint64), np.zeros((n, 2 * GROUPS), np.uint64)
             if len(h):
                 full = np.flatnonzero(count)
                 at = np.concatenate([[0], np.cumsum(count[full])[:-1]])
@@ -70,17 +95,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for r in range(ROWS):
                         acc = B.mix(acc * np.uint64(3) + np.minimum.reduceat(h * odd[g * ROWS + r], at))
                     groups[full, g] = B.mix(acc ^ tag[g])
-                g = B.mix(h ^ np.uint64(0x5851F42D4C957F2D))
-                least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
-                np.minimum.at(least, row * BINS + (g >> np.uint64(32)).astype(np.int64) % BINS, g)
-                least = least.reshape(n, BINS)
-                sketch = np.where(least == np.iinfo(np.uint64).max, np.uint64(0), np.uint64(1) + (least & np.uint64(0xFFFFFFF)) % np.uint64(255))
-            shifts = np.uint64(8) * np.arange(PER, dtype=np.uint64)
-            packed = (sketch.reshape(n, BINS // PER, PER) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
-            lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1)))
+            packed = _sketch(h, row, n, BINS)
             groups = groups.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, n), pa.array(count.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists(groups[:, :GROUPS]), lists(groups[:, GROUPS:]), lists(packed)],
+                [ids.slice(lo, n), pa.array(count.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), _lists(groups[:, :GROUPS]), _lists(groups[:, GROUPS:]), _lists(packed)],
                 schema=_SIGNATURE,
             )
 
@@ -90,15 +108,31 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, _SIGNATURE_DDL)
 
 
+_LOW, _ONE = (1 << 8 * PER) - 1, sum(0x7F << 8 * i for i in range(PER))
+
+
+def _zeros(x: str) -> str:
+    """SQL for the number of bytes of a long that are 0."""
+    return f"bit_count(~(((({x}) & {_ONE}L) + {_ONE}L) | ({x}) | {_ONE}L) & {_LOW}L)"
+
+
+def _allowed(bins: str, na: str, nb: str, sigmas: float) -> str:
+    """SQL for the differing bins a pair at the threshold may show: used bins are a sample without replacement of its union."""
+    p, union = 1 - PART / OF, f"({na} + {nb}) / {1 + PART / OF}D"
+    return f"{p}D * {bins} + 1D + {sigmas * (p * (1 - p)) ** 0.5}D * sqrt({bins} * greatest(0D, ({union} - {bins}) / greatest(1D, {union} - 1D)))"
+
+
 def could_match(sa: str, sb: str, na: str, nb: str) -> Column:
     """False only where sizes forbid the threshold or sketches miss it by SIGMAS deviations."""
-    low, one = (1 << 56) - 1, sum(0x7F << 8 * i for i in range(PER))
-    empty = lambda x: f"bit_count(~(((({x}) & {one}L) + {one}L) | ({x}) | {one}L) & {low}L)"
-    differ = " + ".join(f"({PER} - {empty(f'{sa}[{i}] ^ {sb}[{i}]')})" for i in range(BINS // PER))
-    unused = " + ".join(empty(f"{sa}[{i}] | {sb}[{i}]") for i in range(BINS // PER))
-    p = 1 - PART / OF
-    bins = f"({BINS} - ({unused}))"
-    return F.expr(f"least({na}, {nb}) * {OF} >= greatest({na}, {nb}) * {PART} and ({differ}) <= {p}D * {bins} + {SIGMAS * (p * (1 - p)) ** 0.5}D * sqrt({bins})")
+    differ = " + ".join(f"({PER} - {_zeros(f'{sa}[{i}] ^ {sb}[{i}]')})" for i in range(BINS // PER))
+    unused = " + ".join(_zeros(f"{sa}[{i}] | {sb}[{i}]") for i in range(BINS // PER))
+    return F.expr(f"least({na}, {nb}) * {OF} >= greatest({na}, {nb}) * {PART} and ({differ}) <= {_allowed(f'({BINS} - ({unused}))', na, nb, SIGMAS)}")
+
+
+def finely_match(fa: str, fb: str, na: str, nb: str) -> Column:
+    """The same by the fine sketches, FINE_SIGMAS deviations."""
+    total = lambda op: f"aggregate(zip_with({fa}, {fb}, (x, y) -> {_zeros(f'x {op} y')}), 0, (s, x) -> s + x)"
+    return F.expr(f"exists(array({total('|')}), unused -> {FINE_BINS} - {total('^')} <= {_allowed(f'({FINE_BINS} - unused)', na, nb, FINE_SIGMAS)})")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +157,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of doc_ids whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return (
         pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
@@ -134,8 +168,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _shared(reps: DataFrame, side: str) -> DataFrame:
-    """(node, value) for the groups of one collection that at least two nodes agree on."""
-    rows = reps.select("node", F.explode(side).alias(side))
+    """(node, place, value) for the groups of one collection that at least two nodes agree on."""
+    rows = reps.select("node", F.posexplode(side).alias(f"at_{side}", side))
     often = rows.groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side)
     return rows.join(often, side)
 
@@ -155,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("d1", "d2", "n_shingles", "a", "b", "sketch")
         .agg(F.min("doc_id").alias("node"))
     )
-    keys = settled(_shared(reps, "a").join(_shared(reps, "b"), "node").select("node", F.xxhash64("a", "b").alias("key")))
+    keys = settled(_shared(reps, "a").join(_shared(reps, "b"), "node").select("node", "at_a", "at_b", F.xxhash64("a", "b").alias("key")))
     leaders = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     shape = reps.select("node", "n_shingles", "sketch")
     ends = lambda k: shape.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
@@ -166,17 +200,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settled(confirmed(stars, docs))
     first = components(links)
 
-    of = keys.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    of = keys.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = settled(of.join(mixed, "key").join(shape, "node"))
-    side = lambda k: members.select("key", F.col("node").alias(k), F.col("component").alias(f"c_{k}"), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    left, right = side("u"), side("v").withColumnRenamed("key", "key2")
-    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("u") > F.col("v")) & (F.col("c_u") != F.col("c_v")) & near).select("u", "v").distinct()
-    across = settled(across.join(stars, ["u", "v"], "left_anti"))
+    members = settled(of.join(mixed, "key").withColumn("at", F.col("at_a") * GROUPS + F.col("at_b")).select("key", "node", "at", "component"))
+    fine = _fine_sketches(members.select("node").distinct(), docs)
+    wide = members.join(reps.select("node", "n_shingles", "sketch", "a", "b").join(fine, "node"), "node")
+    # both sides have the same columns, so one exchange serves them
+    side = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "at", "component", "n_shingles", "sketch", "fine", "a", "b")])
+    earlier = lambda g, upto: F.arrays_overlap(F.slice(f"{g}_u", F.lit(1), upto), F.slice(f"{g}_v", F.lit(1), upto))
+    across = side("u").join(
+        side("v"),
+        (F.col("key_u") == F.col("key_v")) & (F.col("node_u") > F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
+        & could_match("sketch_u", "sketch_v", "n_shingles_u", "n_shingles_v")
+        & ~earlier("a", F.floor(F.col("at_u") / GROUPS).cast("int")) & ~earlier("b", F.col("at_v") % GROUPS)
+        & finely_match("fine_u", "fine_v", "n_shingles_u", "n_shingles_v"),
+    ).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "component_u", "component_v")
+    across = settled(across.distinct().join(stars, ["u", "v"], "left_anti"))
+    component = F.coalesce("component", "node")
+    of_set = reps.join(first, "node", "left").select("d1", "d2", "n_shingles", component.alias("_component"))
     if across.limit(1).count():
-        first = components(links.union(settled(confirmed(across, docs))))
-
-    of_set = reps.join(first, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("_component"))
+        # further links join whole components, so only their contraction is solved again
+        more = settled(confirmed(across.select("u", "v"), docs)).join(across, ["u", "v"]).select(F.col("component_u").alias("u"), F.col("component_v").alias("v"))
+        second = components(more).withColumnRenamed("node", "_component")
+        of_set = of_set.join(second, "_component", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "_component").alias("_component"))
     return (
         sigs.select("doc_id", "n_shingles", "d1", "d2")
         .join(of_set, ["d1", "d2", "n_shingles"], "left")
@@ -185,6 +231,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _fine_sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, fine) for the nodes, of which texts are read again; one text stands for a repeated id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(small_side(settled(nodes), MAX_BROADCAST_IDS), "node", "left_semi")
+    return texts.mapInArrow(_fine, "node long, fine array<long>").dropDuplicates(["node"])
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the documents of a near-duplicate group but its smallest doc_id; all columns stay."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()

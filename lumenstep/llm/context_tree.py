@@ -8,7 +8,7 @@ walks down from the root with the resulting posterior weights, so all depths tak
 Training counts byte 4-grams of all training documents; trees, posteriors and the
 probability of each 4-gram are DataFrame aggregations over them.  Scoring is a sum over a
 text's 4-grams, and over its words for the unigram base score.  Keys that are frequent
-enough for a bounded table (`max_rows`) are looked up in a broadcast; the rest of a
+enough for a bounded table (`max_tokens`, `max_grams`) are looked up in a broadcast; the rest of a
 document's keys is joined by a shuffle, so the model may grow with the corpus.
 """
 
@@ -28,7 +28,8 @@ from lumenstep.llm._common import settled
 DEPTH = 3
 TOKEN, GRAM = 0, 1
 END = np.uint64(0x1234567887654321)
-MAX_ROWS = 2_000_000
+#: Broadcast entries at most: of tokens, whose rare ones are joined, and of 4-grams.
+MAX_TOKENS, MAX_GRAMS = 100_000, 2_000_000
 FLUSH = 2_000_000
 ALPHA = 0.1
 
@@ -177,7 +178,7 @@ def _rows(*columns) -> pa.RecordBatch:
 
 def _frequent(table: DataFrame, max_rows: int) -> int:
     """The least count from which at most max_rows keys are left."""
-    found, left = 1, 0
+    found, left = 0, 0
     for r in sorted(table.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect(), key=lambda r: -r.n):
         left += r["count"]
         if left > max_rows:
@@ -193,7 +194,7 @@ def _pull(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-def scored(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Texts are A-Z lower-cased, null counts as empty; tokens are words without white space
@@ -207,16 +208,14 @@ def scored(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     floor = total + ALPHA * (vocabulary + 1)
     of_token = F.log10((F.col("n") + ALPHA) / F.lit(floor))
     tokens = tokens.select("key", "n", of_token.alias("value"))
-    grams = settled(gram_scores(table.where(f"kind = {GRAM}").select("key", "n")))
-    small_grams = grams.limit(max_rows + 1).count() <= max_rows
-    common = _frequent(tokens, max_rows)
+    counts = table.where(f"kind = {GRAM}").select("key", "n")
+    grams = settled(gram_scores(counts).join(counts, "key"))
+    common, often = _frequent(tokens, max_tokens), _frequent(grams, max_grams)
     spark = docs.sparkSession
-    nothing = (np.zeros(0, np.int64), np.zeros(0))
-    tables = spark.sparkContext.broadcast((_pull(tokens.where(F.col("n") >= common)), _pull(grams) if small_grams else nothing))
+    tables = spark.sparkContext.broadcast((_pull(tokens.where(F.col("n") >= common)), _pull(grams.where(F.col("n") >= often))))
     out = rows.mapInArrow(_score(tables), _ROW)
     rest = tokens.where(F.col("n") < common).select(F.lit(TOKEN).cast("long").alias("kind"), "key", "value")
-    if not small_grams:
-        rest = rest.union(grams.select(F.lit(GRAM).cast("long").alias("kind"), "key", "value"))
+    rest = rest.union(grams.where(F.col("n") < often).select(F.lit(GRAM).cast("long").alias("kind"), "key", "value"))
     joined = out.join(rest, ["kind", "key"], "left")
     alone, token = F.col("kind") == -1, F.col("kind") == TOKEN
     unseen = F.log10(F.lit(ALPHA) / F.lit(floor))

@@ -84,7 +84,7 @@ def run(spark, **options):
 def test_lookup_and_join_agree_with_direct(spark):
     want = direct(DOCS)
     close(run(spark), want)
-    close(run(spark, max_rows=3), want)
+    close(run(spark, max_tokens=3, max_grams=3), want)
 
 
 def test_empty_and_repeats(spark):

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     members = settled(of.join(mixed, "key").withColumn("at", F.col("at_a") * GROUPS + F.col("at_b")).select("key", "node", "at", "component"))
     fine = _fine_sketches(members.select("node").distinct(), docs)
-    wide = members.join(reps.select("node", "n_shingles", "sketch", "a", "b").join(fine, "node"), "node")
+    wide = members.join(settled(reps.select("node", "n_shingles", "sketch", "a", "b").join(fine, "node")), "node")
     # both sides have the same columns, so one exchange serves them
     side = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "at", "component", "n_shingles", "sketch", "fine", "a", "b")])
     earlier = lambda g, upto: F.arrays_overlap(F.slice(f"{g}_u", F.lit(1), upto), F.slice(f"{g}_v", F.lit(1), upto))

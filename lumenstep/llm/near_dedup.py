@@ -11,8 +11,9 @@ Candidates are confirmed on the full shingle sets.  Work per bucket stays linear
 1. documents with equal sets fold into one representative;
 2. every member of a bucket is checked against the bucket's leader;
 3. only buckets whose members are still in different components compare pairs, there
-   only pairs across components, each in the first bucket it shares, and of those only
-   pairs whose coarse and fine sketches could reach the threshold.
+   only pairs across components, each where it first shares a group of the one collection
+   and any of the other, and of those only pairs whose coarse and fine sketches could
+   reach the threshold.
 
 No bucket is capped.
 """
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("d1", "d2", "n_shingles", "a", "b", "sketch")
         .agg(F.min("doc_id").alias("node"))
     )
-    keys = settled(_shared(reps, "a").join(_shared(reps, "b"), "node").select("node", "at_a", "at_b", F.xxhash64("a", "b").alias("key")))
+    keys = settled(_shared(reps, "a").join(_shared(reps, "b"), "node").select("node", "at_a", F.xxhash64("a", "b").alias("key")))
     leaders = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     shape = reps.select("node", "n_shingles", "sketch")
     ends = lambda k: shape.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
@@ -202,20 +203,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of = keys.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = settled(of.join(mixed, "key").withColumn("at", F.col("at_a") * GROUPS + F.col("at_b")).select("key", "node", "at", "component"))
-    fine = _fine_sketches(members.select("node").distinct(), docs)
-    wide = members.join(settled(reps.select("node", "n_shingles", "sketch", "a", "b").join(fine, "node")), "node")
-    # both sides have the same columns, so one exchange serves them
+    members = settled(of.join(mixed, "key").groupBy("node").agg(F.min("component").alias("component"), F.collect_set("at_a").alias("ats")))
+    fine = _fine_sketches(members.select("node"), docs)
+    traits = settled(reps.select("node", "n_shingles", "sketch", "a", "b").join(fine, "node").join(members, "node"))
+    # Dealt by the first half of the band: ten rows a node carry the sketches, not a hundred; the
+    # other half is a condition.  Both sides have the same columns, so one exchange serves them.
+    wide = traits.withColumn("at", F.explode("ats")).withColumn("key", F.expr("a[at]")).drop("ats")
     side = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "at", "component", "n_shingles", "sketch", "fine", "a", "b")])
-    earlier = lambda g, upto: F.arrays_overlap(F.slice(f"{g}_u", F.lit(1), upto), F.slice(f"{g}_v", F.lit(1), upto))
     across = side("u").join(
         side("v"),
         (F.col("key_u") == F.col("key_v")) & (F.col("node_u") > F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
         & could_match("sketch_u", "sketch_v", "n_shingles_u", "n_shingles_v")
-        & ~earlier("a", F.floor(F.col("at_u") / GROUPS).cast("int")) & ~earlier("b", F.col("at_v") % GROUPS)
+        & ~F.arrays_overlap(F.slice("a_u", F.lit(1), F.col("at_u")), F.slice("a_v", F.lit(1), F.col("at_v"))) & F.arrays_overlap("b_u", "b_v")
         & finely_match("fine_u", "fine_v", "n_shingles_u", "n_shingles_v"),
     ).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "component_u", "component_v")
-    across = settled(across.distinct().join(stars, ["u", "v"], "left_anti"))
+    across = settled(across.join(stars, ["u", "v"], "left_anti"))
     component = F.coalesce("component", "node")
     of_set = reps.join(first, "node", "left").select("d1", "d2", "n_shingles", component.alias("_component"))
     if across.limit(1).count():
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _fine_sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, fine) for the nodes, of which texts are read again; one text stands for a repeated id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(small_side(settled(nodes), MAX_BROADCAST_IDS), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(small_side(nodes, MAX_BROADCAST_IDS), "node", "left_semi")
     return texts.mapInArrow(_fine, "node long, fine array<long>").dropDuplicates(["node"])
 
 

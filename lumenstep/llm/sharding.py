@@ -10,7 +10,8 @@ for each node, never rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenstep.llm._common import running_sum, settled
@@ -52,6 +53,12 @@ def _crossing(rows: DataFrame, bucket: Column, below: Column) -> DataFrame:
     return sums.withColumn("upto", F.sum("s").over(along)).where(below < F.col("upto")).groupBy("node").agg(F.min("b").alias("b"), F.min_by(F.col("upto") - F.col("s"), "b").alias("before"), F.min_by("s", "b").alias("mass"))
 
 
+def _table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A small local table; as Arrow it reaches the plan without Python workers."""
+    columns = zip(*rows) if rows else [[] for _ in kinds]
+    return spark.createDataFrame(pa.table({k: pa.array(list(c), t) for (k, t), c in zip(kinds.items(), columns)}))
+
+
 def _routed(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """rows with their leaf in `node`; each level is a broadcast table (node, dim, cut) of a bounded size."""
     keep = rows.columns
@@ -82,7 +89,7 @@ def tree(base: DataFrame, shards: int) -> tuple[list[DataFrame], DataFrame]:
         for node, (first, n) in leaves.items():
             following |= {2 * node + 1: (first, n // 2), 2 * node + 2: (first + n // 2, n - n // 2)} if n > 1 else {2 * node + 1: (first, 1)}
         leaves = following
-        plan = F.broadcast(spark.createDataFrame(splits, "node int, dim int, goal double").coalesce(1))
+        plan = F.broadcast(_table(spark, splits, node=pa.int32(), dim=pa.int32(), goal=pa.float64()))
         place = F.shiftleft(F.element_at(F.array(*dims), F.col("dim") + 1), TIE) + F.col("tie")
         open_ = state.join(plan, "node").withColumn("place", place)
         low = CELL + TIE - HALF
@@ -95,8 +102,8 @@ def tree(base: DataFrame, shards: int) -> tuple[list[DataFrame], DataFrame]:
             r = two[node]
             over = goal - first_pass[node] - r.before > r.mass / 2
             cuts.append((node, dim, (r.b + over) << (low - HALF)))
-        levels.append(spark.createDataFrame(cuts, "node int, dim int, cut long").coalesce(1))
-    return levels, spark.createDataFrame([(k, v[0]) for k, v in leaves.items()], "node int, shard int").coalesce(1)
+        levels.append(_table(spark, cuts, node=pa.int32(), dim=pa.int32(), cut=pa.int64()))
+    return levels, _table(spark, [(k, v[0]) for k, v in leaves.items()], node=pa.int32(), shard=pa.int32())
 
 
 def _leaves(base: DataFrame, shards: int | None, target_bytes: int | None) -> tuple[list[DataFrame], DataFrame]:

@@ -1,6 +1,6 @@
 """Vectorised tokens and hashes over the UTF-8 bytes of Arrow string columns.
 
-Each helper works on a block of rows at once, a few MB of text, so memory stays
+Each helper works on a block of rows at once, half a MB of text, so memory stays
 bounded by the longest single text.
 """
 
@@ -22,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of text in a block, and entries of a table of powers that is kept between blocks.
+BLOCK, KEPT = 1 << 19, 1 << 20
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
@@ -29,7 +31,9 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         step = np.full(max(n, 1 << 16), base, np.uint64)
         step[0] = 1
-        have = _powers[name] = np.multiply.accumulate(step)
+        have = np.multiply.accumulate(step)
+        if len(have) <= KEPT:
+            _powers[name] = have
     return have
 
 
@@ -42,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows within these bytes); null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)

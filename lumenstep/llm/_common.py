@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch of texts, unless the session says otherwise; ten thousand long texts would be hundreds of MB.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +29,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def over_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of a few MB; a limit that the session has set stays."""
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only if the side is counted and holds at most max_rows rows.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenstep.llm import _bytes as B
-from lumenstep.llm._common import settled
+from lumenstep.llm._common import over_texts, settled
 
 DEPTH = 3
 TOKEN, GRAM = 0, 1
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_G
     trees; bits per byte follow from it.  Rows with equal doc_id and text score alike.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = settled(rows.mapInArrow(_count, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    table = settled(over_texts(rows, _count, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = table.where(f"kind = {TOKEN} and n > 0")
     total, vocabulary = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (vocabulary + 1)
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_G
     common, often = _frequent(tokens, max_tokens), _frequent(grams, max_grams)
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast((_pull(tokens.where(F.col("n") >= common)), _pull(grams.where(F.col("n") >= often))))
-    out = rows.mapInArrow(_score(tables), _ROW)
+    out = over_texts(rows, _score(tables), _ROW)
     rest = tokens.where(F.col("n") < common).select(F.lit(TOKEN).cast("long").alias("kind"), "key", "value")
     rest = rest.union(grams.where(F.col("n") < often).select(F.lit(GRAM).cast("long").alias("kind"), "key", "value"))
     joined = out.join(rest, ["kind", "key"], "left")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenstep.llm import _bytes as B
-from lumenstep.llm._common import settled, small_side
+from lumenstep.llm._common import over_texts, settled, small_side
 from lumenstep.llm.graph import components
 
 GROUPS, ROWS, SHINGLE = 10, 2, 5
@@ -106,7 +106,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): set size, set digest, both minhash collections, sketch."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, _SIGNATURE_DDL)
+    return over_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _signatures, _SIGNATURE_DDL)
 
 
 _LOW, _ONE = (1 << 8 * PER) - 1, sum(0x7F << 8 * i for i in range(PER))
@@ -160,12 +160,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of doc_ids whose full shingle sets reach the threshold."""
     ids = pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-        .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-        .select("u", "v", "tu", "tv")
-        .mapInArrow(_confirm, "u long, v long")
-    )
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    return over_texts(both.select("u", "v", "tu", "tv"), _confirm, "u long, v long")
 
 
 def _shared(reps: DataFrame, side: str) -> DataFrame:
@@ -236,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _fine_sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, fine) for the nodes, of which texts are read again; one text stands for a repeated id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(small_side(nodes, MAX_BROADCAST_IDS), "node", "left_semi")
-    return texts.mapInArrow(_fine, "node long, fine array<long>").dropDuplicates(["node"])
+    return over_texts(texts, _fine, "node long, fine array<long>").dropDuplicates(["node"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

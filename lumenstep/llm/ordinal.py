@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenstep.llm import _bytes as B
-from lumenstep.llm._common import settled, small_side
+from lumenstep.llm._common import over_texts, settled, small_side
 
 GRADES = 3
 #: Hash space of the features; its last SHAPES places hold the shape figures.
@@ -132,19 +132,20 @@ class OrdinalModel:
         these names; a null text counts as empty."""
         names = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
         weights, cuts, wanted = self.weights, self.cuts, self.weights != 0
+        text_at = names.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 score = np.zeros(batch.num_rows)
-                for lo, hi, data, offs in B.blocks(batch.column(batch.num_columns - 1)):
+                for lo, hi, data, offs in B.blocks(batch.column(text_at)):
                     row, f, value = _features(data, offs, wanted)
                     score[lo:hi] = np.bincount(row, weights[f] * value, minlength=hi - lo)
                 above = _sigmoid(score[:, None] - cuts[None, :])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(above.sum(axis=1)), pa.array(above[:, -1])], names=[*batch.schema.names[:-1], "expected_grade", "tail_probability"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(above[:, -1])], names=[*batch.schema.names, "expected_grade", "tail_probability"])
 
-        plain = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("_scored_text"))
-        schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability")).schema
-        return plain.mapInArrow(run, schema)
+        plain = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+        schema = plain.select("*", F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability")).schema
+        return over_texts(plain, run, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: flo
     sample = graded(labels).orderBy(F.xxhash64("_rated"), "_rated").limit(fit_rows)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     rated = settled(texts.join(small_side(settled(sample), fit_rows), F.col("_id") == F.col("_rated")).select("grade", "text"))
-    counts = rated.mapInArrow(_document_counts, "feature long, grade long, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n"))
+    counts = over_texts(rated, _document_counts, "feature long, grade long, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n"))
     sizes = {r.grade: r["count"] for r in rated.groupBy("grade").count().collect()}
     n = sum(sizes.values())
     total = counts.groupBy("feature").agg(F.sum("n").alias("df"), *[F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(GRADES - 1)])
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: flo
     wanted = np.zeros(SPACE, bool)
     wanted[[r.feature for r in telling]] = True
     wanted[SPACE - SHAPES :] = True
-    table = rated.mapInArrow(_sparse_rows(wanted), "grade long, feature array<int>, value array<float>").toArrow()
+    table = over_texts(rated, _sparse_rows(wanted), "grade long, feature array<int>, value array<float>").toArrow()
     grade = table["grade"].to_numpy()
     lists = [table[c].combine_chunks() for c in ("feature", "value")]
     lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]

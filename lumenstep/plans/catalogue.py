@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from lumenstep.plans import modelling, relational  # noqa: F401
+from lumenstep.plans import measures, modelling, relational  # noqa: F401
 from lumenstep.plans._registry import ORACLE_SQL, QUERIES
 
 

@@ -104,11 +104,12 @@ _GUESS = "(o_totalprice * 0.5 + 1000 * month(o_orderdate))"
 
 @query(
     f"with p as (select o_totalprice as y, {_GUESS} as p from orders), g as (select min(p) as lo, (max(p) - min(p)) / 100 as w from p) "
-    "select bin, count(*) as n, round(avg(y), 4) as mean_true, round(avg(p), 4) as mean_pred from (select *, floor((p - lo) / w)::int + 1 as bin from p cross join g) where bin between 1 and 100 group by bin"
+    "select bin, count(*) as n, round(sum(y), 2) as total_true, round(sum(p), 3) as total_pred from (select *, floor((p - lo) / w)::int + 1 as bin from p cross join g) where bin between 1 and 100 group by bin"
 )
 def reg_bins(t):
+    """Means times counts: whole cents and half cents, where means may lie on a rounding tie."""
     rows = t.orders.withColumn("p", F.expr(_GUESS))
-    return metrics.regression_bins(rows, "o_totalprice", "p").select("bin", "n", r("mean_true", 4).alias("mean_true"), r("mean_pred", 4).alias("mean_pred"))
+    return metrics.regression_bins(rows, "o_totalprice", "p").select("bin", "n", *[r(F.col(f"mean_{c}") * F.col("n"), d).alias(f"total_{c}") for c, d in (("true", 2), ("pred", 3))])
 
 
 @query(f"select c_mktsegment, count(*) as n, round(avg(abs(o_totalprice - {_GUESS})), 4) as mae from orders join customer on o_custkey = c_custkey group by c_mktsegment")

@@ -1,13 +1,14 @@
 """Language-model scores: context-tree weighting over binary-decomposed bytes.
 
 A byte is eight binary decisions, each with its own tree over the preceding bytes, down
-to DEPTH of them.  A node holds zero and one counts; its Krichevsky-Trofimov estimate and
+to `depth` of them.  A node holds zero and one counts; its Krichevsky-Trofimov estimate and
 its children's weighted probability are mixed half and half, bottom up.  A prediction
 walks down from the root with the resulting posterior weights, so all depths take part.
 
-Training counts byte 4-grams of all training documents; trees, posteriors and the
-probability of each 4-gram are DataFrame aggregations over them.  Scoring is a sum over a
-text's 4-grams, and over its words for the unigram base score.  Keys that are frequent
+Training counts the grams of all training documents, a byte after its context, as 64-bit
+keys.  Nodes below TOP bytes of context are worked out where all grams of one such context
+lie together, those above as DataFrame aggregations; every gram met gets its probability.
+Scoring is a sum over a text's grams, and over its words for the unigram base score.  Keys that are frequent
 enough for a bounded table (`max_tokens`, `max_grams`) are looked up in a broadcast; the rest of a
 document's keys is joined by a shuffle, so the model may grow with the corpus.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 from lumenstep.llm import _bytes as B
 from lumenstep.llm._common import over_texts, settled
 
-DEPTH = 3
+#: Depth of the registered query; a context and its byte fit a signed 64-bit key up to MAX_DEPTH.
+DEPTH, MAX_DEPTH = 6, 6
+#: Bytes of context by which grams are dealt out, and rows worked on at once.
+TOP, CHUNK = 3, 50_000
 TOKEN, GRAM = 0, 1
 END = np.uint64(0x1234567887654321)
-#: Broadcast entries at most: of tokens, whose rare ones are joined, and of 4-grams.
+#: Broadcast entries at most: of tokens and of grams, whose rare ones are joined.
 MAX_TOKENS, MAX_GRAMS = 100_000, 2_000_000
 FLUSH = 2_000_000
 ALPHA = 0.1
@@ -39,19 +44,26 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def _keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys with rows (an end per row), 4-gram keys with rows (three zero bytes before, one after)."""
+def _keys(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys with rows (an end per row), gram keys with rows (`depth` zero bytes before, one after).
+
+    The byte is a gram's lowest, its context stands above it, the nearest byte highest, so
+    grams that share a nearer context are neighbours.
+    """
     n = len(offs) - 1
     words, row = B.word_hashes(data, offs)
     words, row = np.concatenate([words, np.full(n, END)]).view(np.int64), np.concatenate([row, np.arange(n)])
-    shift = np.repeat(np.arange(n, dtype=np.int64) * (DEPTH + 1) + DEPTH, np.diff(offs))
-    padded = np.zeros(len(data) + n * (DEPTH + 1), np.uint32)
+    shift = np.repeat(np.arange(n, dtype=np.int64) * (depth + 1) + depth, np.diff(offs))
+    padded = np.zeros(len(data) + n * (depth + 1), np.int64)
     padded[np.arange(len(data)) + shift] = B.LOWER[data]
-    ok = np.ones(max(0, len(padded) - DEPTH), bool)
-    for j in range(DEPTH):
-        over = offs[1:] + np.arange(n) * (DEPTH + 1) + 1 + j
+    m = max(0, len(padded) - depth)
+    ok = np.ones(m, bool)
+    for j in range(depth):
+        over = offs[1:] + np.arange(n) * (depth + 1) + 1 + j
         ok[over[over < len(ok)]] = False
-    grams = (padded[:-3] << np.uint32(24)) | (padded[1:-2] << np.uint32(16)) | (padded[2:-1] << np.uint32(8)) | padded[3:]
+    grams = padded[depth : depth + m].copy()
+    for j in range(1, depth + 1):
+        grams |= padded[depth - j : depth - j + m] << np.int64(8 * (depth + 1 - j))
     return words, row, grams[ok], np.repeat(np.arange(n), np.diff(offs) + 1)
 
 
@@ -63,8 +75,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n) partial counts; every 4-gram of any document is listed, if with n = 0."""
+def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n) partial counts; every gram of any document is listed, if with n = 0."""
     parts: dict[int, list] = {TOKEN: [], GRAM: []}
 
     def out(kind: int) -> pa.RecordBatch:
@@ -75,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         trains = np.array([not held_out(i) for i in batch.column(0).to_pylist()], bool)
         for lo, hi, data, offs in B.blocks(batch.column(1)):
-            words, wrow, grams, grow = _keys(data, offs)
+            words, wrow, grams, grow = _keys(data, offs, depth)
             train = trains[lo:hi]
             parts[TOKEN].append(np.unique(words[train[wrow]], return_counts=True))
             seen = [np.unique(grams[train[grow]], return_counts=True), (u := np.unique(grams[~train[grow]]), np.zeros(len(u), np.int64))]
@@ -97,33 +109,147 @@ def _log_gamma(x: str) -> str:
     return f"(({y} - 0.5D) * ln({y}) - {y} + {0.9189385332046727!r}D + 1D / (12D * {y}) - 1D / (360D * pow({y}, 3)) + 1D / (1260D * pow({y}, 5)) - ln({steps}))"
 
 
-def gram_scores(grams: DataFrame) -> DataFrame:
-    """(key, value): log10 probability of the last byte after the first three, for (key, n) 4-grams."""
-    spread = grams.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    byte = "(key & 255)"
-    bits = spread.selectExpr("key", "n", "shiftright(key, 8) as c3", f"int(shiftleft(1, k) | shiftright({byte}, 8 - k)) as u", f"int(shiftright({byte}, 7 - k) & 1) as bit")
-    levels = {}
-    seen = bits.where("n > 0").groupBy("c3", "u").agg(F.sum(F.expr("if(bit = 0, n, 0)")).cast("double").alias("n0"), F.sum(F.expr("if(bit = 1, n, 0)")).cast("double").alias("n1"))
+def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov estimate, by the series of _log_gamma."""
+
+    def log_gamma(x: np.ndarray) -> np.ndarray:
+        y, steps = x + 8, np.ones_like(x)
+        for i in range(8):
+            steps = steps * (x + i)
+        return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
+
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - 1.1447298858494002 - log_gamma(n0 + n1 + 1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first, CHUNK rows at a time, cut only where the first changes."""
+    held, n, want = [], 0, CHUNK
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n < want:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, n = [[c[cut:] for c in columns]], n - cut
+        want = max(CHUNK, 2 * n)
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Bits of grams, the place of their nodes among the deepest, and (nodes, parents' places, n0, n1, weighted, stay) from depth to top.
+
+    A node is its context << 8 | the bits of the byte so far.  A gram with n = 0 adds
+    nodes that change nothing: their weighted log is 0 and their estimate is a half.
+    """
+    byte, k = (keys & 255)[:, None], np.arange(8)
+    bit = ((byte >> (7 - k)) & 1).astype(bool)
+    nodes, inverse = np.unique((keys & ~255)[:, None] | (1 << k) | (byte >> (8 - k)), return_inverse=True)
+    inverse = inverse.reshape(bit.shape)
+    times = np.broadcast_to(n[:, None], bit.shape)
+    n0, n1 = (np.bincount(inverse[x], times[x], len(nodes)) for x in (~bit, bit))
+    weighted, stay, out = _kt(n0, n1), np.ones(len(nodes)), []
+    for _ in range(depth - top):
+        up, parent = np.unique((nodes >> 16 << 8) | (nodes & 255), return_inverse=True)
+        out.append((nodes, parent, n0, n1, weighted, stay))
+        n0, n1, kids = (np.bincount(parent, x, len(up)) for x in (n0, n1, weighted))
+        own, nodes = _kt(n0, n1), up
+        weighted, stay = np.logaddexp(own, kids) - np.log(2), 1 / (1 + np.exp(np.minimum(700, kids - own)))
+    return bit, inverse, [*out, (nodes, None, n0, n1, weighted, stay)]
+
+
+def _tops(depth: int, top: int) -> Callable:
+    """Nodes at `top` from (c, key, n) sorted by c, with all below them weighed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n in _groups(batches):
+            nodes, _, n0, n1, weighted, stay = _levels(keys, n, depth, top)[2][-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes >> 8, (nodes & 255).astype(np.int32), n0, n1, weighted, stay)], names=[f"c{top}", "u", "n0", "n1", "weighted", "stay"])
+
+    return run
+
+
+def _leaves(depth: int, top: int) -> Callable:
+    """(key, n, value) of the grams, from them and the mixtures that reach their nodes at `top`, sorted by c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, keys, n, u, known, rest in _groups(batches):
+            gram = u < 0
+            entry = np.flatnonzero(~gram)
+            entry = entry[np.argsort(c[entry] << 8 | u[entry])]
+            keys, n = keys[gram], n[gram]
+            bit, inverse, levels = _levels(keys, n, depth, top)
+            known, rest = known[entry], rest[entry]
+            for _, parent, n0, n1, _, stay in reversed(levels):
+                if parent is not None:
+                    known, rest = known[parent], rest[parent]
+                known, rest = known + rest * stay * (n1 + 0.5) / (n0 + n1 + 1), rest * (1 - stay)
+            one = known[inverse]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, n, np.log10(np.where(bit, one, 1 - one)).sum(axis=1))], names=["key", "n", "value"])
+
+    return run
+
+
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, n, value): log10 probability of the last byte after its context, for (key, n) grams."""
+    top = min(TOP, depth)
+    near = lambda df: df.repartition("c").sortWithinPartitions("c")
+    rows = grams.select(F.shiftright("key", 8 * (depth - top + 1)).alias("c"), "key", "n")
+    levels = {top: settled(near(rows).mapInArrow(_tops(depth, top), f"c{top} long, u int, n0 double, n1 double, weighted double, stay double"))}
     kt = f"({_log_gamma('(n0 + 0.5D)')} + {_log_gamma('(n1 + 0.5D)')} - {1.1447298858494002!r}D - {_log_gamma('(n0 + n1 + 1D)')})"
-    levels[DEPTH] = settled(seen.withColumn("weighted", F.expr(kt)).withColumn("stay", F.lit(1.0)))
-    for d in range(DEPTH - 1, -1, -1):
-        up = levels[d + 1].withColumn(f"c{d}", F.expr(f"c{d + 1} & {(1 << 8 * d) - 1}L"))
+    for d in range(top - 1, -1, -1):
+        up = levels[d + 1].withColumn(f"c{d}", F.shiftright(f"c{d + 1}", 8))
         node = up.groupBy(f"c{d}", "u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("kids")).withColumn("own", F.expr(kt))
         both = f"(greatest(own, kids) + ln(1D + exp(-abs(own - kids))) - {0.6931471805599453!r}D)"
         levels[d] = settled(node.withColumn("weighted", F.expr(both)).withColumn("stay", F.expr("1D / (1D + exp(least(700D, kids - own)))")).drop("own", "kids"))
     # top down: `known` is the mixture of the depths so far, `rest` the weight left for deeper ones
     chance = "(n1 + 0.5D) / (n0 + n1 + 1D)"
-    reach = levels[0].selectExpr("c0", "u", f"stay * {chance} as known0", "1D - stay as rest0")
-    ways = {0: settled(reach)}
-    for d in range(1, DEPTH + 1):
-        node = levels[d].withColumn(f"c{d - 1}", F.expr(f"c{d} & {(1 << 8 * (d - 1)) - 1}L"))
-        reach = node.join(ways[d - 1], [f"c{d - 1}", "u"]).selectExpr(f"c{d}", "u", f"known{d - 1} + rest{d - 1} * stay * {chance} as known{d}", f"rest{d - 1} * (1D - stay) as rest{d}")
-        ways[d] = settled(reach)
-    path = bits
-    for d in range(DEPTH, -1, -1):
-        path = path.withColumn(f"c{d}", F.expr(f"c3 & {(1 << 8 * d) - 1}L")).join(ways[d], [f"c{d}", "u"], "left")
-    known = F.coalesce(*[F.col(f"known{d}") + 0.5 * F.col(f"rest{d}") for d in range(DEPTH, -1, -1)], F.lit(0.5))
-    return path.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, known).otherwise(1.0 - known))).alias("value"))
+    way = settled(levels[0].selectExpr("c0", "u", f"stay * {chance} as known", "1D - stay as rest"))
+    for d in range(1, top):
+        node = levels[d].withColumn(f"c{d - 1}", F.shiftright(f"c{d}", 8))
+        reach = node.join(way, [f"c{d - 1}", "u"]).selectExpr(f"c{d}", "u", f"known + rest * stay * {chance} as known", "rest * (1D - stay) as rest")
+        way = settled(reach)
+    entry = levels[top].withColumn(f"c{top - 1}", F.shiftright(f"c{top}", 8)).join(way, [f"c{top - 1}", "u"])
+    entry = entry.selectExpr(f"c{top} as c", "-1L as key", "0L as n", "u", "known", "rest")
+    both = rows.selectExpr("c", "key", "n", "-1 as u", "0D as known", "0D as rest").union(entry)
+    return near(both).mapInArrow(_leaves(depth, top), "key long, n long, value double")
+
+
+class _Table:
+    """Keys of 0 and above and their values, found by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * B.MULT) >> self.shift).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where there is none, and whether there is one."""
+        at = self._place(wanted)
+        have = self.keys[at]
+        hit = have == wanted
+        value = np.where(hit, self.values[at], 0.0)
+        left = np.flatnonzero(~hit & (have != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            have = self.keys[at[left]]
+            ok = have == wanted[left]
+            hit[left[ok]], value[left[ok]] = True, self.values[at[left[ok]]]
+            left = left[~ok & (have != -1)]
+        return value, hit
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,30 +260,25 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
     return np.where(hit, values[at], 0.0), hit
 
 
-def _score(tables) -> Callable:
+def _score(tables, depth: int) -> Callable:
     """Rows of what is settled by the tables, and one for each key of a text that is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (tkeys, tvalues), (gkeys, gvalues) = tables.value
-        contexts, index = np.unique(gkeys >> 8, return_inverse=True)
-        dense = np.full((len(contexts) + 1, 256), np.nan, np.float32 if len(contexts) > 200_000 else np.float64)
-        dense[index, gkeys & 255] = gvalues
-        place = np.full(1 << 24, len(contexts), np.int32)
-        place[contexts] = np.arange(len(contexts), dtype=np.int32)
+        near = _Table(gkeys, gvalues)
         for batch in batches:
             for lo, hi, data, offs in B.blocks(batch.column(1)):
                 n = hi - lo
-                words, wrow, grams, grow = _keys(data, offs)
+                words, wrow, grams, grow = _keys(data, offs, depth)
                 whole = B.span_hash(data, offs[:-1], offs[1:]).view(np.int64)
                 value, hit = _lookup(tkeys, tvalues, words)
                 base, known, count = np.bincount(wrow, value, minlength=n).astype(float), np.bincount(wrow[hit], minlength=n), np.bincount(wrow, minlength=n)
-                g = dense[place[grams >> np.uint32(8)], grams & np.uint32(255)]
-                ghit = ~np.isnan(g)
-                score = np.bincount(grow[ghit], g[ghit], minlength=n).astype(float)
+                g, ghit = near.find(grams)
+                score = np.bincount(grow, g, minlength=n).astype(float)
                 ids = batch.column(0).slice(lo, n)
                 none = np.zeros(n, np.int64)
                 yield _rows(ids, whole, none - 1, none, count, known, base, score)
-                for kind, keys, rows in ((TOKEN, words[~hit], wrow[~hit]), (GRAM, grams[~ghit].astype(np.int64), grow[~ghit])):
+                for kind, keys, rows in ((TOKEN, words[~hit], wrow[~hit]), (GRAM, grams[~ghit], grow[~ghit])):
                     if len(keys):
                         order = np.lexsort((keys, rows))
                         keys, rows = keys[order], rows[order]
@@ -194,26 +315,28 @@ def _pull(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_GRAMS) -> DataFrame:
+def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_GRAMS, depth: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Texts are A-Z lower-cased, null counts as empty; tokens are words without white space
     and one end.  score is the log10 probability of the text's bytes and its end under the
-    trees; bits per byte follow from it.  Rows with equal doc_id and text score alike.
+    trees of `depth`; bits per byte follow from it.  Rows with equal doc_id and text score alike.
     """
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = settled(over_texts(rows, _count, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    table = settled(over_texts(rows, partial(_count, depth=depth), "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = table.where(f"kind = {TOKEN} and n > 0")
     total, vocabulary = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (vocabulary + 1)
     of_token = F.log10((F.col("n") + ALPHA) / F.lit(floor))
     tokens = tokens.select("key", "n", of_token.alias("value"))
     counts = table.where(f"kind = {GRAM}").select("key", "n")
-    grams = settled(gram_scores(counts).join(counts, "key"))
+    grams = settled(gram_scores(counts, depth))
     common, often = _frequent(tokens, max_tokens), _frequent(grams, max_grams)
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast((_pull(tokens.where(F.col("n") >= common)), _pull(grams.where(F.col("n") >= often))))
-    out = over_texts(rows, _score(tables), _ROW)
+    out = over_texts(rows, _score(tables, depth), _ROW)
     rest = tokens.where(F.col("n") < common).select(F.lit(TOKEN).cast("long").alias("kind"), "key", "value")
     rest = rest.union(grams.where(F.col("n") < often).select(F.lit(GRAM).cast("long").alias("kind"), "key", "value"))
     joined = out.join(rest, ["kind", "key"], "left")

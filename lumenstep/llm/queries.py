@@ -48,7 +48,7 @@ def op7_chat(spark, sf_dir):
 
 
 def op8_lm_score(spark, sf_dir):
-    return context_tree.scored(_table(spark, sf_dir, "documents"))
+    return context_tree.scored(_table(spark, sf_dir, "documents"), depth=context_tree.DEPTH)
 
 
 def op9_quality(spark, sf_dir):

@@ -75,8 +75,9 @@ def linked(scanned: DataFrame) -> DataFrame:
     # only texts with a weak part that is reportable and some other part can link
     with_parts = scanned.where(F.exists("weak", lambda x: x["kind"] < len(KINDS) + 2) & (F.size("weak") + F.size("base") > 1))
     parts = _roles(with_parts.select(*key, F.explode(F.concat("base", "weak")).alias("p")).select(*key, "p.*").distinct())
-    bucket = F.floor(F.col("start") / SCOPE)
-    ask = parts.where(F.col("kind").between(len(KINDS), len(KINDS) + 1)).withColumn("bucket", bucket)
+    # the asking part stands in each bucket it touches, an offer one further on both sides: whatever is within SCOPE meets
+    touched = F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
+    ask = parts.where(F.col("kind").between(len(KINDS), len(KINDS) + 1)).withColumn("bucket", touched)
     near = F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - 1, F.floor(F.col("end") / SCOPE) + 1))
     offer = parts.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.col("kind").alias("o_kind"), near.alias("o_bucket"))
     same = [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in key]
@@ -84,7 +85,10 @@ def linked(scanned: DataFrame) -> DataFrame:
     apart = (F.col("o_start") >= F.col("end")) | (F.col("start") >= F.col("o_end"))
     pairs = ask.join(offer, [*same, F.col("bucket") == F.col("o_bucket"), within, apart, F.col("role") != F.col("o_role")], "left_semi")
     covered = (F.col("o_start") < F.col("end")) & (F.col("start") < F.col("o_end")) & (F.col("o_kind") < len(KINDS))
-    alone = pairs.join(offer, [*same, F.col("bucket") == F.col("o_bucket"), covered], "left_anti")
+    # a long part may meet the span that covers it in some of its buckets only
+    part = [*key, "start", "end", "kind"]
+    inside = ask.join(offer, [*same, F.col("bucket") == F.col("o_bucket"), covered], "left_semi").select(*[F.col(k).alias(f"i_{k}") for k in part]).distinct()
+    alone = pairs.select(*part).distinct().join(inside, [F.col(k).eqNullSafe(F.col(f"i_{k}")) for k in part], "left_anti")
     added = alone.groupBy(*key).agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
     added = added.select(*[F.col(k).alias(f"a_{k}") for k in key], "added")
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")

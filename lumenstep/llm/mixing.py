@@ -90,10 +90,19 @@ def mixed_sizes(rows: DataFrame, weight: Column | None = None, seed: int = 7, we
     return rows.select("doc_id", "source", "whole", "size", "source_size", "target", taken.alias("taken"), (F.col("epochs") + F.when(extra, 1).otherwise(0)).alias("copies"))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies, 0 drops it; columns of docs only."""
+def rated_sizes(docs: DataFrame, rated: DataFrame, good: float, poor: float) -> DataFrame:
+    """sized docs with _weight by rated (_rated, _quality; a row a document): good, poor, or 1 where there is no rating."""
+    quality = F.when(F.col("_quality") > 0, good).when(F.col("_quality") == 0, poor).otherwise(1.0)
+    return sized(docs.select("doc_id", "source", "text")).join(rated, F.col("doc_id") == F.col("_rated"), "left").withColumn("_weight", quality)
+
+
+def repeated(docs: DataFrame, rows: DataFrame | None = None, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies, 0 drops it; columns of docs only.
+
+    rows: sized docs that carry a weight, which is joined to them without their texts.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    copies = mixed(docs, **options).groupBy("doc_id", "whole", "source").agg(F.max("copies").alias("_copies"))
+    copies = mixed_sizes(sized(docs) if rows is None else rows, **options).groupBy("doc_id", "whole", "source").agg(F.max("copies").alias("_copies"))
     copies = settled(copies.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("source").alias("_from"), "_copies").where("_copies > 0"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_whole")) & F.col("source").eqNullSafe(F.col("_from"))
     return docs.join(copies, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
@@ -101,6 +110,4 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
 def digest(docs: DataFrame, rated: DataFrame, good: float, poor: float) -> DataFrame:
     """doc_id, size, source_size, target, taken; rated (_rated, _quality) gives documents their weight."""
-    quality = F.when(F.col("_quality") > 0, good).when(F.col("_quality") == 0, poor).otherwise(1.0)
-    rows = sized(docs.select("doc_id", "source", "text")).join(rated, F.col("doc_id") == F.col("_rated"), "left").withColumn("_weight", quality)
-    return mixed_sizes(rows, F.col("_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed_sizes(rated_sizes(docs, rated, good, poor), F.col("_weight")).select("doc_id", "size", "source_size", "target", "taken")

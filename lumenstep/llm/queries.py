@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """_rated, _quality: the best label of each document."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_rated")).agg(F.max("quality").alias("_quality"))
+
+
 def op1_pii(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
@@ -24,9 +29,7 @@ def op2_sharding(spark, sf_dir):
 
 
 def op3_mixing(spark, sf_dir):
-    labels = _table(spark, sf_dir, "labels").where("doc_id is not null")
-    rated = labels.groupBy(F.col("doc_id").alias("_rated")).agg(F.max("quality").alias("_quality"))
-    return mixing.digest(_table(spark, sf_dir, "documents"), rated, GOOD, POOR)
+    return mixing.digest(_table(spark, sf_dir, "documents"), ratings(_table(spark, sf_dir, "labels")), GOOD, POOR)
 
 
 def op4_near_dedup(spark, sf_dir):

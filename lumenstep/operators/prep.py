@@ -73,6 +73,14 @@ def _fill(df, columns, params, state):
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None)) if types[c] in ("double", "float") else F.col(c), F.lit(v)) for c, v in state.items() if v is not None})
 
 
+def _bounded(column: str, rows: DataFrame, most: int) -> list:
+    """Sorted values of one-column rows; more than `most` of them are refused, none is dropped."""
+    found = [r[0] for r in rows.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values to keep; condense it first or raise max_values")
+    return sorted(found)
+
+
 def _fit_condense(df, columns, params):
     """Values kept: share of at least min_frequency each, or, cumulative, the largest that make up 1 - min_frequency."""
     out, least = {}, params["min_frequency"]
@@ -81,10 +89,11 @@ def _fit_condense(df, columns, params):
         per = df.where(F.col(c).isNotNull()).groupBy(c).count()
         if params.get("mode") == "cumulative":
             upto = F.sum("count").over(Window.orderBy(F.desc("count"), c).rowsBetween(Window.unboundedPreceding, -1))
-            rows = per.orderBy(F.desc("count"), c).limit(10_000).withColumn("b", F.coalesce(upto, F.lit(0))).where(F.col("b") < n * (1 - least))
+            top = per.orderBy(F.desc("count"), c).limit(params.get("max_values", 10_000) + 1)  # one more than may be kept
+            rows = top.withColumn("b", F.coalesce(upto, F.lit(0))).where(F.col("b") < n * (1 - least))
         else:
             rows = per.where(F.col("count") >= n * least)
-        out[c] = sorted(r[0] for r in rows.select(c).collect())
+        out[c] = _bounded(c, rows.select(c), params.get("max_values", 10_000))
     return out
 
 
@@ -168,7 +177,7 @@ def _scale(df, columns, params, state):
 
 
 def _fit_one_hot(df, columns, params):
-    return {c: sorted(r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().limit(params.get("max_values", 200)).collect()) for c in columns}
+    return {c: _bounded(c, df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct(), params.get("max_values", 200)) for c in columns}
 
 
 @step("OneHot", _fit_one_hot)

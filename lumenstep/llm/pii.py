@@ -2,10 +2,11 @@
 
 Base spans follow fixed patterns and always stay.  Looser generators propose further,
 overlapping candidates (no country code, spelled-out addresses, other separators).
-Boosted trees over format and context features, fitted on a bounded sample with base
-spans as positives and other candidates as unlabelled, score them; per kind a threshold
-calibrated to `min_precision` on that sample decides.  Trees become CASE expressions, so
-documents are read once and nothing is shuffled.
+Boosted trees over format and context features score them, with base spans as positives.
+Looser candidates are positives or negatives only where context or a check speaks for it;
+the others are unlabelled, and how many of them are positive is estimated with the trees
+in turn.  Per kind a threshold calibrated to `min_precision` decides.  The fit counts
+feature patterns over all documents; trees become CASE expressions, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from lumenstep.llm._common import let
 from lumenstep.llm.spans import joined, matches, of_kind
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents the fit reads, in expectation; chosen by a hash of the id.
-FIT_DOCS = 20_000
 ROUNDS, RATE, MIN_PRECISION = 12, 0.5, 0.9
+#: How often trees are fitted again with what they say of unlabelled candidates.
+TURNS = 8
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -70,6 +71,27 @@ FEATURES = [
     ("groups end on four digits", r"match", r"[^0-9][0-9]{4}$"),
     ("a group of over five digits", r"match", r"[0-9]{6}"),
 ]
+#: Places of features that say a loose candidate is none (another number, touched, a date, one digit); the last feature is _checked.
+CONTRARY, NAMED, BRACKETS, DOMAIN, CHECKED = (1, 2, 3, 6), 0, 8, 9, len(FEATURES)
+
+
+def _checked(match: Column, kind: int) -> Column:
+    """Whether a loose candidate passes what can be checked of its kind."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    return [
+        F.lit(True),
+        match.contains(":") | match.rlike(rf"^{_OCTET}(?:\[\.\]{_OCTET}){{3}}$"),
+        _is_card(digits),
+        F.length(digits).between(7, 15),
+    ][kind]
+
+
+def _verdict(kind: int, f: tuple) -> int:
+    """What a loose candidate's features say: 1 one of its kind, 0 none, -1 nothing for certain."""
+    if any(f[i] for i in CONTRARY) or not f[CHECKED]:
+        return 0
+    clear = f[DOMAIN] and (f[NAMED] or f[BRACKETS]) if KINDS[kind] == "email" else f[NAMED] or KINDS[kind] == "ip" and f[BRACKETS]
+    return 1 if clear else -1
 
 
 def _described(text: Column, spans: Column, kind: int, base: bool) -> Column:
@@ -80,7 +102,7 @@ def _described(text: Column, spans: Column, kind: int, base: bool) -> Column:
         fields = {"before": before, "match": x["match"], "around": F.concat(F.substring(before, -1, 1), F.lit("|"), F.substring(text, x["end"] + 1, F.lit(1)))}
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
-            F.array(*[fields[f].rlike(p) for _, f, p in FEATURES]).alias("f"),
+            F.array(*[fields[f].rlike(p) for _, f, p in FEATURES], F.lit(True) if base else _checked(x["match"], kind)).alias("f"),
         )
 
     return F.transform(spans, one)
@@ -124,7 +146,24 @@ class Boosted:
         return out
 
 
-def boost(patterns: list[tuple[int, tuple, int, int]], rounds: int = ROUNDS, min_precision: float = MIN_PRECISION) -> Boosted:
+def estimated(counts: list[tuple[int, tuple, int, int]], turns: int = TURNS, **options) -> Boosted:
+    """Trees over (kind, features, base spans, loose candidates), the unlabelled among the latter shared out by expectation.
+
+    They begin half and half; each turn fits trees and shares them out by their margins.
+    """
+    said = [_verdict(kind, f) for kind, f, _, _ in counts]
+    share = [0.5 if v < 0 else float(v) for v in said]
+    for turn in range(turns):
+        patterns = [(kind, f, base + loose * s, loose * (1 - s)) for (kind, f, base, loose), s in zip(counts, share)]
+        model = boost(patterns, **options)
+        if all(v >= 0 for v in said):
+            break
+        if turn < turns - 1:
+            share = [1 / (1 + math.exp(-max(-40.0, min(40.0, model.margin(f))))) if v < 0 else s for (_, f, _, _), v, s in zip(counts, said, share)]
+    return model
+
+
+def boost(patterns: list[tuple[int, tuple, float, float]], rounds: int = ROUNDS, min_precision: float = MIN_PRECISION) -> Boosted:
     """Newton boosting over (kind, features, positives, others); at most 2**features patterns a kind."""
     pos, neg = sum(p[2] for p in patterns), sum(p[3] for p in patterns)
     model = Boosted(bias=math.log((pos + 1) / (neg + 1)))
@@ -169,17 +208,14 @@ def boost(patterns: list[tuple[int, tuple, int, int]], rounds: int = ROUNDS, min
     return model
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Boosted:
-    """Fit on about fit_docs documents; what reaches the driver are counts of feature patterns."""
-    n = docs.count()
-    share = int(min(1.0, fit_docs / max(n, 1)) * 1_000_000)
+def fit(docs: DataFrame) -> Boosted:
+    """Fit on all documents; what reaches the driver are counts of feature patterns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = base_spans(text)
     base = F.concat(*[_described(text, s, k, True) for k, s in enumerate(found)])
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    every = sample.select(F.explode(let(base, lambda b: F.concat(b, candidates(text, b)))).alias("c")).select("c.*")
+    every = docs.select(F.explode(let(base, lambda b: F.concat(b, candidates(text, b)))).alias("c")).select("c.*")
     counts = every.groupBy("kind", "f").agg(F.count_if("base").alias("pos"), F.count_if(~F.col("base")).alias("neg")).orderBy("kind", "f")
-    return boost([(r.kind, tuple(r.f), r.pos, r.neg) for r in counts.collect()])
+    return estimated([(r.kind, tuple(r.f), r.pos, r.neg) for r in counts.collect()])
 
 
 def found(docs: DataFrame, model: Boosted | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -14,9 +15,11 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share; a temporary one only where none is configured and one machine does all (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumenstep-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,7 +44,7 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
     Beyond that the join stays a shuffled one, which AQE splits where it is skewed.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def let(value: Column, body) -> Column:
@@ -71,7 +74,7 @@ def running_sum(
     same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(small_side(offsets, max_broadcast), same)
+        df.join(small_side(settled(offsets), max_broadcast), same)
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .drop("_offset", *[f"_o_{k}" for k in keys])
     )

@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from lumenstep.llm._common import settled
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,23 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _forest(edges: DataFrame) -> bool:
+    """Whether each node has one link down at most and none of those linked to has one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or up = 1 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of `edges` (u, v): the smallest node reachable.
+    """(node, component) for each node of `edges` (u, v) that is not itself the smallest node reachable, its component.
 
-    Self links and repeated links do no harm; nodes without a link are not listed.
+    Self links and repeated links do no harm; null ends must not occur.
     A group of links never meets in one task: minima are pre-aggregated, joins can be
     split where they are skewed.  Each round is checkpointed.
     """
-    edges = settled(edges.where("u <> v").select("u", "v").distinct())
-    seen = _print(edges)
+    edges = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
+        if _forest(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         edges = settled(_small_star(_large_star(edges)))
-        now = _print(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

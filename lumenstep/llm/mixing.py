@@ -17,7 +17,8 @@ from lumenstep.llm._common import running_sum, settled, small_side
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BUCKETS = 4096
-MAX_SOURCES = 100_000
+#: Rows of the sides that may be broadcast: one a source, one a rated document.
+MAX_SOURCES, MAX_RATED = 100_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,42 +71,65 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights:
     return mixed_sizes(sized(docs), weight, seed, weights, share, cap)
 
 
-def mixed_sizes(rows: DataFrame, weight: Column | None = None, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The same for rows that carry size and whole instead of the text."""
+def _keyed(rows: DataFrame, weight: Column | None, seed: int) -> DataFrame:
+    """doc_id, source, size, whole, key and bucket of sized rows."""
     w = F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)
-    slim = settled(
-        rows.select(
-            "doc_id", "source", "size", "whole",
-            (-F.ln(uniform(F.col("doc_id"), seed)) / w).alias("key"),
-        ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    )
+    keyed = rows.select("doc_id", "source", "size", "whole", (-F.ln(uniform(F.col("doc_id"), seed)) / w).alias("key"))
+    return keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+
+
+def _taken(slim: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
+    """Keyed rows with source_size, target, epochs and extra: whether the fractional epoch takes the row."""
     goal = settled(targets(slim.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source"))
     rows = slim.join(small_side(goal, MAX_SOURCES), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.least(F.col("target") / F.col("source_size"), F.lit(cap)))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs)
     rows = running_sum(rows, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("whole")], F.col("size"), "before")
     room = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = (2 * F.col("before") + F.col("size") <= 2 * room) & (F.col("epochs") + 1 <= cap)
-    taken = F.col("size") * (F.col("epochs") + F.when(extra, 1).otherwise(0))
-    return rows.select("doc_id", "source", "whole", "size", "source_size", "target", taken.alias("taken"), (F.col("epochs") + F.when(extra, 1).otherwise(0)).alias("copies"))
+    return rows.withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * room) & (F.col("epochs") + 1 <= cap))
+
+
+def mixed_sizes(rows: DataFrame, weight: Column | None = None, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The same for rows that carry size and whole instead of the text."""
+    copies = F.col("epochs") + F.when(F.col("extra"), 1).otherwise(0)
+    taken = _taken(settled(_keyed(rows, weight, seed)), weights, share, cap).withColumn("copies", copies)
+    return taken.select("doc_id", "source", "whole", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "copies")
+
+
+def rating_weight(good: float, poor: float) -> Column:
+    """The weight of a document by its _quality: good, poor, or 1 where there is no rating."""
+    return F.when(F.col("_quality") > 0, good).when(F.col("_quality") == 0, poor).otherwise(1.0)
 
 
 def rated_sizes(docs: DataFrame, rated: DataFrame, good: float, poor: float) -> DataFrame:
-    """sized docs with _weight by rated (_rated, _quality; a row a document): good, poor, or 1 where there is no rating."""
-    quality = F.when(F.col("_quality") > 0, good).when(F.col("_quality") == 0, poor).otherwise(1.0)
-    return sized(docs.select("doc_id", "source", "text")).join(rated, F.col("doc_id") == F.col("_rated"), "left").withColumn("_weight", quality)
+    """sized docs with _weight by rated (_rated, _quality; a row a document)."""
+    slim = sized(docs.select("doc_id", "source", "text"))
+    return slim.join(small_side(settled(rated), MAX_RATED), F.col("doc_id") == F.col("_rated"), "left").withColumn("_weight", rating_weight(good, poor))
 
 
-def repeated(docs: DataFrame, rows: DataFrame | None = None, **options) -> DataFrame:
+def repeated(docs: DataFrame, rated: DataFrame | None = None, good: float = 1.0, poor: float = 1.0, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies, 0 drops it; columns of docs only.
 
-    rows: sized docs that carry a weight, which is joined to them without their texts.
+    The fractional epoch of a source is all that comes before a cut in key order, so each
+    row finds its copies from its own key and a table of one row a source; texts do not
+    move (but where ratings are too many to broadcast).  Nulls as in `mixed`; a row that
+    repeats the one at the cut is taken with it.  Names of columns are free.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    copies = mixed_sizes(sized(docs) if rows is None else rows, **options).groupBy("doc_id", "whole", "source").agg(F.max("copies").alias("_copies"))
-    copies = settled(copies.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("source").alias("_from"), "_copies").where("_copies > 0"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_whole")) & F.col("source").eqNullSafe(F.col("_from"))
-    return docs.join(copies, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*inner.values())
+    if rated is not None:
+        plain = plain.join(small_side(settled(rated), MAX_RATED), F.col(inner["doc_id"]) == F.col("_rated"), "left")
+    rows = sized(plain.select("*", *[F.col(inner[c]).alias(c) for c in ("doc_id", "source", "text")]))
+    weight = None if rated is None else rating_weight(good, poor)
+    place = F.struct("key", "doc_id", "whole")
+    cuts = _taken(settled(_keyed(rows, weight, seed)), weights, share, cap).groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("extra"), place)).alias("_cut"))
+    cuts = settled(cuts.withColumnRenamed("source", "_from"))
+    w = F.lit(1.0) if weight is None else weight
+    keyed = rows.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / w)
+    out = keyed.join(small_side(cuts, MAX_SOURCES), F.col("source").eqNullSafe(F.col("_from")))
+    copies = F.col("_epochs") + F.when(place <= F.col("_cut"), 1).otherwise(0)
+    out = out.withColumn("_copies", copies.cast("int")).where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()])
 
 
 def digest(docs: DataFrame, rated: DataFrame, good: float, poor: float) -> DataFrame:

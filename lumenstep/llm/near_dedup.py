@@ -37,10 +37,11 @@ PART, OF = 75, 100
 #: Sketch bins, seven one-byte bins to a long so that sums never overflow.
 BINS, PER = 126, 7
 SIGMAS = 6.0
-#: The fine sketch, made only for members of buckets that stay mixed.
-#: A link right at the threshold is lost there with probability 2e-4, below what banding itself may miss.
-FINE_BINS, FINE_SIGMAS = 504, 3.5
+#: The fine sketch, made only for members of buckets that stay mixed; as wide a margin as the coarse one.
+FINE_BINS, FINE_SIGMAS = 504, 6.0
 MAX_BROADCAST_IDS = 1_000_000
+#: A document in more pairs than this is compared in several tasks.
+HOT_PAIRS = 128
 
 _SIGNATURE = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
@@ -157,18 +158,34 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    return over_texts(both.select("u", "v", "tu", "tv"), _confirm, "u long, v long")
+    """The pairs (u, v) of doc_ids whose full shingle sets reach the threshold; a pair may be listed again.
 
-
-def _shared(reps: DataFrame, side: str) -> DataFrame:
-    """(node, place, value) for the groups of one collection that at least two nodes agree on."""
-    rows = reps.select("node", F.posexplode(side).alias(f"at_{side}", side))
-    often = rows.groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side)
-    return rows.join(often, side)
+    The pairs of a document in many of them are dealt out in parts, each with a copy of its
+    text, so a large group of near copies does not meet in one task.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    hot = small_side(settled(ends.where(F.col("n") > HOT_PAIRS).select("id", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("n"))), MAX_BROADCAST_IDS)
+    dealt = pairs.select("u", "v")
+    for end, other in (("u", "v"), ("v", "u")):
+        parts = hot.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+        dealt = dealt.join(parts, end, "left").withColumn(f"p_{end}", F.coalesce(F.pmod(F.xxhash64(other), F.col(f"n_{end}")).cast("int"), F.lit(0)))
+    need = dealt.select(F.explode(F.array(*[F.struct(F.col(e).alias("doc_id"), F.col(f"p_{e}").alias("part")) for e in "uv"])).alias("x")).select("x.*").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small_side(settled(need), MAX_BROADCAST_IDS), "doc_id")
+    texts = texts.repartition("doc_id", "part").dropDuplicates(["doc_id", "part", "text"])
+    both = dealt
+    for e in "uv":
+        both = both.join(texts.select(F.col("doc_id").alias(e), F.col("part").alias(f"p_{e}"), F.col("text").alias(f"t_{e}")), [e, f"p_{e}"])
+    return over_texts(both.select("u", "v", "t_u", "t_v"), _confirm, "u long, v long")
+
+
+def _band_keys(reps: DataFrame) -> DataFrame:
+    """(node, at_a, key) of each band of which at least two nodes share both groups."""
+    rows = reps.select("node", F.posexplode(F.concat("a", "b")).alias("at", "value"))
+    often = rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    of = rows.join(often, "value").groupBy("node").agg(F.collect_set(F.struct("at", "value")).alias("groups"))
+    half = lambda first: F.filter("groups", lambda g: (g["at"] < GROUPS) if first else (g["at"] >= GROUPS))
+    bands = F.flatten(F.transform(half(True), lambda x: F.transform(half(False), lambda y: F.struct(x["at"].alias("at_a"), F.xxhash64(x["value"], y["value"]).alias("key")))))
+    return of.select("node", F.explode(bands).alias("band")).select("node", "band.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,8 +194,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A-Z are lower-cased, words are runs without white space, the set holds the distinct
     five-word shingles (a shorter text: its whole word sequence).  Null or wordless texts
     have an empty set and link with nothing; rows with a null doc_id link with nothing,
-    have a null component and are kept.  Rows with equal doc_id count as one document and
-    are kept or dropped together.  Other columns are not looked at.
+    have a null component and are kept.  Rows that repeat doc_id and text get equal results;
+    where one doc_id has several texts, a link of any of them is a link of the document and
+    each row is grouped by its own text.  Other columns are not looked at.
     """
     sigs = settled(signatures(docs))
     reps = settled(
@@ -186,7 +204,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("d1", "d2", "n_shingles", "a", "b", "sketch")
         .agg(F.min("doc_id").alias("node"))
     )
-    keys = settled(_shared(reps, "a").join(_shared(reps, "b"), "node").select("node", "at_a", F.xxhash64("a", "b").alias("key")))
+    keys = settled(_band_keys(reps))
     leaders = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     shape = reps.select("node", "n_shingles", "sketch")
     ends = lambda k: shape.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
@@ -197,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settled(confirmed(stars, docs))
     first = components(links)
 
-    of = keys.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = settled(keys.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     members = settled(of.join(mixed, "key").groupBy("node").agg(F.min("component").alias("component"), F.collect_set("at_a").alias("ats")))
     fine = _fine_sketches(members.select("node"), docs)
@@ -216,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = settled(across.join(stars, ["u", "v"], "left_anti"))
     component = F.coalesce("component", "node")
     of_set = reps.join(first, "node", "left").select("d1", "d2", "n_shingles", component.alias("_component"))
-    if across.limit(1).count():
+    if not across.isEmpty():
         # further links join whole components, so only their contraction is solved again
         more = settled(confirmed(across.select("u", "v"), docs)).join(across, ["u", "v"]).select(F.col("component_u").alias("u"), F.col("component_v").alias("v"))
         second = components(more).withColumnRenamed("node", "_component")
@@ -230,12 +248,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _fine_sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, fine) for the nodes, of which texts are read again; one text stands for a repeated id."""
+    """(node, fine) for the nodes, of which texts are read again."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(small_side(nodes, MAX_BROADCAST_IDS), "node", "left_semi")
-    return over_texts(texts, _fine, "node long, fine array<long>").dropDuplicates(["node"])
+    return over_texts(texts, _fine, "node long, fine array<long>").repartition("node").dropDuplicates(["node", "fine"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the documents of a near-duplicate group but its smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(settled(gone), MAX_BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the documents of a near-duplicate group but its smallest doc_id; all columns stay.
+
+    A doc_id with several texts goes if one of them is in a group with a smaller doc_id.
+    Nulls, empty texts and repeats as in `near_duplicates`; names of columns are free.
+    """
+    gone = settled(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    left = docs.toDF(*inner.values())
+    return left.join(small_side(gone, MAX_BROADCAST_IDS), F.col(inner["doc_id"]) == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -53,3 +53,19 @@ def test_removal(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert [r.doc_id for r in D.decontaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
     assert [r.text for r in D.decontaminated(docs, bench, remove="spans").orderBy("doc_id").collect()] == ["before after", "clean. text", None]
+
+
+def test_full_bitmap_and_joined_windows_change_nothing(spark, monkeypatch):
+    docs, items = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "MIN_BITS", 64)
+    monkeypatch.setattr(D, "MAX_BITS", 64)
+    monkeypatch.setattr(D, "MAX_DIRTY", 0)
+    assert sorted(map(tuple, D.digest(d, b, max_windows=0).collect()), key=str) == brute(docs, items)
+
+
+def test_names_of_columns_are_free(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 5), (None, "", "y", 6)], "doc_id long, text string, _words string, _c0 long")
+    bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    assert D.decontaminated(docs, bench).collect() == docs.where("doc_id is null").collect()
+    assert sorted(D.decontaminated(docs, bench, remove="spans").collect(), key=str) == sorted([(1, "a c", "x", 5), (None, "", "y", 6)], key=str)

@@ -81,3 +81,15 @@ def test_splits_follow_the_widest_dimension(spark):
     frame = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit("en").alias("lang"))
     got = sharding.sharded(frame, 2).groupBy("shard").agg(F.count_distinct(F.col("doc_id") % 2).alias("n")).collect()
     assert [r.n for r in got] == [1, 1]
+
+
+def test_placed_and_repeated_rows_follow_the_digests(spark):
+    frame = docs(spark).dropDuplicates(["doc_id"]).withColumns({"_copies": F.lit("mine"), "key": F.lit(1), "d0": F.lit(2)})
+    shard = {r.doc_id: r.shard for r in sharding.digest(frame, 16).collect()}
+    assert {r.doc_id: r.shard for r in sharding.placed(frame, 16).collect()} == shard
+    rated = spark.createDataFrame([(i, i % 2) for i in range(0, 800, 3)], "_rated long, _quality int")
+    want = {r.doc_id: r.taken // r["size"] for r in mixing.digest(frame, rated, 2.0, 0.5).collect() if r["size"]}
+    out = mixing.repeated(frame, rated, 2.0, 0.5)
+    got = Counter(r.doc_id for r in out.where("length(text) > 0").collect())
+    assert out.columns == frame.columns and got == Counter({k: v for k, v in want.items() if v})
+    assert mixing.repeated(frame.limit(0), rated).count() == 0 and sharding.placed(frame.limit(0)).count() == 0

@@ -54,3 +54,16 @@ def test_empty_and_nulls(spark):
     assert near_duplicates(frame).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in near_duplicates(frame).collect() if r.doc_id is not None) == [(False, 1, True)] * 2
+
+
+def test_hot_pairs_in_parts_and_clashing_names(spark, monkeypatch):
+    from lumenstep.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "HOT_PAIRS", 2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:i], "new", *words[i + 1 :]])) for i in range(30)] + [(99, "a b \x00 c d e f"), (98, "a b \x00 c d e f")]
+    frame = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, _gone string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(frame).collect()}
+    assert got == brute(rows)
+    out = N.deduplicated(frame)
+    assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == sorted(i for i, x in got.items() if x[2])

@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenstep.llm import decontaminate, mixing, near_dedup, ordinal, queries, sharding
 from lumenstep.llm._common import shared_dir
@@ -35,7 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents as the mix of sources takes them, better rated ones first."""
     rated = queries.ratings(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.repeated(docs, mixing.rated_sizes(docs, rated, queries.GOOD, queries.POOR), weight=F.col("_weight"))
+    return mixing.repeated(docs, rated, queries.GOOD, queries.POOR)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,22 @@ def test_topk_odd_rows(spark):
         assert [tuple(r) for r in got] == want
 
 
+def test_topk_leaves_entries_unread(spark, sf_dir):
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    v = topk.usable(spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1))
+    reading = {}
+    got = topk.top_k(v, v.where("vec_id % 100 = 0"), reading=reading).collect()
+    whole = np.floor(x * 1024)
+    for q in range(0, 4000, 100):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -scores))[:10]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(int(i), int(scores[i])) for i in best]
+    assert 0 < reading["read"] + 16 * reading["resolved"] < 0.8 * reading["all"]
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+    assert topk.top_k(v.limit(0), v.where("vec_id = 0")).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = corpus_pipeline.run(spark, sf_dir)

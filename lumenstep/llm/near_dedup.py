@@ -37,8 +37,8 @@ PART, OF = 75, 100
 #: Sketch bins, seven one-byte bins to a long so that sums never overflow.
 BINS, PER = 126, 7
 SIGMAS = 6.0
-#: The fine sketch, made only for members of buckets that stay mixed; as wide a margin as the coarse one.
-FINE_BINS, FINE_SIGMAS = 504, 6.0
+#: The fine sketch, made only for members of buckets that stay mixed; it loses 3e-7 of the links right at the threshold.
+FINE_BINS, FINE_SIGMAS = 1008, 5.0
 MAX_BROADCAST_IDS = 1_000_000
 #: A document in more pairs than this is compared in several tasks.
 HOT_PAIRS = 128

@@ -35,8 +35,9 @@ TOKEN, GRAM = 0, 1
 END = np.uint64(0x1234567887654321)
 #: Broadcast entries at most: of tokens and of grams, whose rare ones are joined.
 MAX_TOKENS, MAX_GRAMS = 100_000, 2_000_000
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 ALPHA = 0.1
+LOG2_10 = 3.321928094887362
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -277,7 +278,7 @@ def _score(tables, depth: int) -> Callable:
                 score = np.bincount(grow, g, minlength=n).astype(float)
                 ids = batch.column(0).slice(lo, n)
                 none = np.zeros(n, np.int64)
-                yield _rows(ids, whole, none - 1, none, count, known, base, score)
+                yield _rows(ids, whole, none - 1, none, count, known, base, score, np.diff(offs).astype(np.int64))
                 for kind, keys, rows in ((TOKEN, words[~hit], wrow[~hit]), (GRAM, grams[~ghit], grow[~ghit])):
                     if len(keys):
                         order = np.lexsort((keys, rows))
@@ -285,12 +286,12 @@ def _score(tables, depth: int) -> Callable:
                         first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
                         times = np.diff(np.concatenate([first, [len(keys)]]))
                         zero = np.zeros(len(first))
-                        yield _rows(ids.take(pa.array(rows[first])), whole[rows[first]], np.full(len(first), kind), keys[first], times, zero.astype(np.int64), zero, zero)
+                        yield _rows(ids.take(pa.array(rows[first])), whole[rows[first]], np.full(len(first), kind), keys[first], times, zero.astype(np.int64), zero, zero, zero.astype(np.int64))
 
     return run
 
 
-_ROW = "doc_id long, whole long, kind long, key long, n long, n_known long, base double, score double"
+_ROW = "doc_id long, whole long, kind long, key long, n long, n_known long, base double, score double, n_bytes long"
 
 
 def _rows(*columns) -> pa.RecordBatch:
@@ -316,11 +317,11 @@ def _pull(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_GRAMS, depth: int = 3) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for each row of docs.
 
     Texts are A-Z lower-cased, null counts as empty; tokens are words without white space
     and one end.  score is the log10 probability of the text's bytes and its end under the
-    trees of `depth`; bits per byte follow from it.  Rows with equal doc_id and text score alike.
+    trees of `depth`; bits_per_byte is their code length, spread over the bytes and the end.  Rows with equal doc_id and text score alike.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
@@ -345,6 +346,7 @@ def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_G
     per = joined.groupBy("doc_id", "whole").agg(
         F.sum(F.when(alone, 1).otherwise(0)).alias("times"),
         F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(alone, F.col("n_bytes")).otherwise(0)).alias("n_bytes"),
         F.sum(F.when(alone, F.col("n_known")).when(token & F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.when(alone, F.col("base")).when(token, F.col("n") * F.coalesce("value", unseen)).otherwise(0.0)).alias("base_score"),
         F.sum(F.when(alone, F.col("score")).when(token, 0.0).otherwise(F.col("n") * F.col("value"))).alias("score"),
@@ -358,4 +360,6 @@ def scored(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_grams: int = MAX_G
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") / F.col("times")).alias("base_score"),
         (F.col("score") / F.col("times")).alias("score"),
+        each("n_bytes").alias("n_bytes"),
+        (F.col("score") * -LOG2_10 / (F.col("n_bytes") + F.col("times"))).alias("bits_per_byte"),
     )

@@ -12,8 +12,12 @@ from lumenstep.llm.context_tree import scored
 
 
 def test_held_out_texts_beat_the_base_score(spark):
-    got = queries.op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.count("*").alias("n")).first()
-    assert got.n > 50 and got.score > got.base
+    rows = [r for r in queries.op8_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    size = {r.doc_id: r.n for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()}
+    for r in rows:
+        assert r.n_bytes == size[r.doc_id] and math.isclose(r.bits_per_byte, -r.score * math.log2(10) / (r.n_bytes + 1))
+    assert sum(r.bits_per_byte * (r.n_bytes + 1) for r in rows) < 4 * sum(r.n_bytes for r in rows)
 
 
 def direct(docs, depth):

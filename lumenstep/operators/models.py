@@ -68,6 +68,8 @@ class StepModel:
 
     def refit(self, features: list[str] | None = None, df: DataFrame | None = None, **changes):
         """New parameters for some features (all: None); df recalibrates or solves again."""
+        if self.stats is None:
+            raise ValueError("this model was saved without its statistics and cannot be refitted")
         if features is None:
             self.params, self.own_params = self.params.updated(**changes), {k: p.updated(**changes) for k, p in self.own_params.items()}
         else:
@@ -107,11 +109,11 @@ class StepModel:
         label = F.when(F.col("is_null"), "Null").when(F.col("kind") == "numeric", F.concat(edge(F.col("lower")), F.lit(" - "), edge(F.col("upper")))).otherwise(F.col("category"))
         return self.profile_frame(spark).select("feature", "node_id", label.alias("value"), F.col("score").alias("contribution"), "mean", F.col("freq").alias("frequency"), F.round(F.col("score") * 100, 1).alias("score_label"))
 
-    def to_json(self) -> str:
-        """All that scoring needs; infinities as null, the null node last."""
+    def to_json(self, statistics: bool = True) -> str:
+        """The whole model; infinities as null, the null node last.  Without statistics it scores but cannot be refitted."""
         safe = lambda x: None if isinstance(x, float) and not np.isfinite(x) else x
         nodes = [{k: safe(v) for k, v in asdict(n).items()} for v in self.profile.values() for n in v]
-        return json.dumps({"kind": type(self).__name__, "target": self.target, "base": self.base, "alpha": self.alpha, "params": asdict(self.params), "own_params": {k: asdict(p) for k, p in self.own_params.items()}, "profile": nodes, "extra": self._extra()})
+        return json.dumps({"kind": type(self).__name__, "target": self.target, "base": self.base, "alpha": self.alpha, "params": asdict(self.params), "own_params": {k: asdict(p) for k, p in self.own_params.items()}, "profile": nodes, "extra": self._extra(), "stats": self.stats.plain() if statistics and self.stats else None})
 
     def _extra(self) -> dict:
         return {}
@@ -119,6 +121,8 @@ class StepModel:
     @staticmethod
     def from_json(text: str) -> StepModel:
         d = json.loads(text)
+        if d["kind"] == "PartitionedModel":
+            return PartitionedModel.from_json(text)
         kind = {"StepClassifier": StepClassifier, "StepRegressor": StepRegressor}[d["kind"]]
         model = kind(params=StepParams(**d["params"]), alpha=d["alpha"], target=d["target"], base=d["base"], own_params={k: StepParams(**p) for k, p in d["own_params"].items()})
         for n in d["profile"]:
@@ -126,7 +130,8 @@ class StepModel:
                 n |= {"lower": -np.inf if n["lower"] is None else n["lower"], "upper": np.inf if n["upper"] is None else n["upper"]}
             model.profile.setdefault(n["feature"], []).append(Node(**n))
         for k, v in d["extra"].items():
-            setattr(model, k, v)
+            setattr(model, k, dict(enumerate(v)) if k == "classes" else v)
+        model.stats = Stats.of_plain(d["stats"]) if d.get("stats") else None
         return model
 
 
@@ -138,8 +143,10 @@ class StepClassifier(StepModel):
     calibration: list[float] = field(default_factory=list)
     support: dict = field(default_factory=dict)
     classes: dict = field(default_factory=dict)
+    named_target: str = ""
 
     def fit(self, df, target, features=None, id_columns=()):
+        self.classes, self.named_target = {}, target
         if dict(df.dtypes)[target] == "string":
             df, self.classes = stats.encode_target(df, target, "_encoded_target")
             id_columns, target = (*id_columns, target), "_encoded_target"
@@ -149,14 +156,18 @@ class StepClassifier(StepModel):
         self.profile = tree.normalised(self.profile, self.base, {k: self.params_of(k) for k in self.profile})
 
     def _finish(self, df: DataFrame | None) -> None:
-        if self.calibrate and df is not None and self.target in df.columns:
+        if self.calibrate and df is not None:
+            if self.target not in df.columns and self.classes and self.named_target in df.columns:
+                df = stats.with_codes(df, self.named_target, self.target, self.classes)
+            if self.target not in df.columns:
+                raise ValueError(f"no column {self.named_target or self.target} to calibrate on")
             known = df.where(F.col(f"`{self.target}`").isNotNull())
             rows = calibration.bins(known, self.score_column(known), F.col(f"`{self.target}`")).collect()
             self.support = {str(r.bin): r.n for r in rows}
             self.calibration = calibration.smoothed([(r.bin, r.n, r["mean"]) for r in rows])
 
     def _extra(self) -> dict:
-        return {"calibration": self.calibration, "support": self.support}
+        return {"calibration": self.calibration, "support": self.support, "classes": [self.classes[k] for k in sorted(self.classes)], "named_target": self.named_target}
 
     def predict(self, df: DataFrame, threshold: float = 0.5, use_prob: bool = False) -> DataFrame:
         """df plus score, proba and prediction (strictly above the threshold is the second class)."""
@@ -241,19 +252,33 @@ class PartitionedModel:
     params: StepParams = field(default_factory=StepParams)
     column: str = ""
     models: dict[str, StepModel] = field(default_factory=dict)
+    classes: dict = field(default_factory=dict)
     ALL = "__dataset__"
 
+    @property
+    def regression(self) -> bool:
+        return self.kind is StepRegressor
+
+    @property
+    def features(self) -> list[str]:
+        return list({k: None for m in self.models.values() for k in m.features})
+
     def fit(self, df: DataFrame, target: str, column: str, features: list[str] | None = None, max_partitions: int = 200) -> PartitionedModel:
         """Values of `column` are compared as text; more than max_partitions are refused (they become plan text)."""
-        self.column = column
-        numeric, categorical = stats.roles(df, features, [target, column])
+        self.column, self.classes, named = column, {}, target
+        if df.select(column).distinct().limit(max_partitions + 1).count() > max_partitions:
+            raise ValueError(f"more than {max_partitions} partitions")
+        if not self.regression and dict(df.dtypes)[target] == "string":
+            df, self.classes = stats.encode_target(df, target, "_encoded_target")
+            target = "_encoded_target"
+        numeric, categorical = stats.roles(df, features, [target, named, column])
         order = features or [c for c in df.columns if c in {*numeric, *categorical}]
         found = stats.collect(df, target, numeric, categorical, [column])
-        if len(found) > max_partitions:
-            raise ValueError(f"{len(found)} partitions, more than {max_partitions}")
         parts = {k[0]: s for k, s in found.items() if k[0] is not None} | {self.ALL: Stats.merged(list(found.values()))}
         for value, s in parts.items():
             model = self.kind(params=self.params, target=target)
+            if not model.regression:
+                model.classes, model.named_target = self.classes, named
             model.stats = s
             s.features = {c: s.features[c] for c in order if c in s.features}
             model.rebuild()
@@ -299,10 +324,30 @@ class PartitionedModel:
         """Classes by `>=` of the threshold, or values clipped to each model's range; unknown partitions use all rows' model."""
         out = self.score(df)
         if self.kind is StepRegressor:
-            low, high = (self._by_part(df, lambda m: F.lit(float(m.prediction_range[i]))) for i in (0, 1))
+            edge = lambda m, i: m.prediction_range[i] if m.prediction_range[i] is not None else (-np.inf, np.inf)[i]
+            low, high = (self._by_part(df, lambda m, i=i: F.lit(float(edge(m, i)))) for i in (0, 1))
             return out.withColumn("prediction", F.least(F.greatest("score", low), high)).drop("score")
         proba = self._by_part(df, lambda m: calibration.probability(F.col("score"), m.calibration) if m.calibration else F.lit(None).cast("double"))
-        return out.withColumn("proba", proba).withColumn("prediction", (F.col("score") >= threshold).cast("int"))
+        hit = F.col("score") >= threshold
+        named = F.when(hit, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])) if len(self.classes) == 2 else hit.cast("int")
+        return out.withColumn("proba", proba).withColumn("prediction", named)
+
+    def explain(self, df: DataFrame) -> DataFrame:
+        """df plus contribution_<feature>, base_value and score, each by the row's own model; 0 for features it has not."""
+        part = lambda k: lambda m: scoring.lookup(df, k, m.profile[k], lambda n: n.score) if k in m.profile else F.lit(0.0)
+        out = df.withColumns({f"contribution_{k}": self._by_part(df, part(k)) for k in self.features} | {"base_value": self._by_part(df, lambda m: F.lit(m.base))})
+        return out.withColumn("score", sum((F.col(f"`contribution_{k}`") for k in self.features), F.col("base_value")))
+
+    def to_json(self, statistics: bool = True) -> str:
+        parts = {k: json.loads(m.to_json(statistics)) for k, m in self.models.items()}
+        return json.dumps({"kind": "PartitionedModel", "of": self.kind.__name__, "column": self.column, "params": asdict(self.params), "classes": [self.classes[k] for k in sorted(self.classes)], "models": parts})
+
+    @staticmethod
+    def from_json(text: str) -> PartitionedModel:
+        d = json.loads(text)
+        kind = {"StepClassifier": StepClassifier, "StepRegressor": StepRegressor}[d["of"]]
+        models = {k: StepModel.from_json(json.dumps(m)) for k, m in d["models"].items()}
+        return PartitionedModel(kind, StepParams(**d["params"]), d["column"], models, dict(enumerate(d["classes"])))
 
 
 def surrogate(kind: type, df: DataFrame, predict: Callable[[DataFrame], DataFrame] | Column, features: list[str] | None = None, **options) -> StepModel:

@@ -83,3 +83,28 @@ def scan(df: DataFrame, exact: bool = True, exact_distinct: bool = True) -> Data
             r["mode"] = None
         out.append(tuple(r.get(p.split()[0]) for p in schema.split(", ")))
     return df.sparkSession.createDataFrame(out, schema)
+
+
+def uninformative(df: DataFrame, zeros: bool = True, keep: tuple[str, ...] = ()) -> list[str]:
+    """Columns that hold nothing but nulls, one value all through, or (zeros) only zeros and nulls; one pass.
+
+    A column of one value and nulls stays, for its nulls tell rows apart.
+    """
+    plain = [f.name for f in df.schema.fields if f.name not in keep and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    number = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    facts = []
+    for i, c in enumerate(plain):
+        x = F.col(f"`{c}`")
+        facts += [F.count(x).alias(f"n{i}"), F.min(x).eqNullSafe(F.max(x)).alias(f"s{i}")]
+        if zeros and c in number:
+            facts.append((F.count_if(x != 0) == 0).alias(f"z{i}"))
+    if not plain:
+        return []
+    r = df.agg(F.count("*").alias("n"), *facts).first().asDict()
+    same = lambda i: r[f"n{i}"] == 0 or (r[f"s{i}"] and r[f"n{i}"] == r["n"])
+    return [c for i, c in enumerate(plain) if r["n"] and (same(i) or r.get(f"z{i}", False))]
+
+
+def drop_uninformative(df: DataFrame, zeros: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df without its uninformative columns."""
+    return df.drop(*uninformative(df, zeros, keep))

@@ -54,6 +54,19 @@ class Stats:
     def base(self) -> float:
         return self.total / self.n if self.n else 0.0
 
+    def plain(self) -> dict:
+        """As lists and numbers, for JSON."""
+        listed = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
+        return {"n": self.n, "total": self.total, "features": {k: {c: listed(v) for c, v in vars(f).items()} for k, f in self.features.items()}}
+
+    @staticmethod
+    def of_plain(d: dict) -> Stats:
+        out = Stats(d["n"], d["total"])
+        for k, f in d["features"].items():
+            kinds = {"values": float if f["kind"] == "numeric" else object, "count": np.int64, "total": float} | ({"edges": float} if f["edges"] is not None else {})
+            out.features[k] = FeatureStats(**f | {c: np.array(f[c], dtype=t) for c, t in kinds.items()})
+        return out
+
     def minus(self, other: Stats) -> Stats:
         return Stats(self.n - other.n, self.total - other.total, {k: v.minus(other.features.get(k)) for k, v in self.features.items()})
 
@@ -107,8 +120,13 @@ def encode_target(df: DataFrame, target: str, out: str) -> tuple[DataFrame, dict
     if len(found) > 2:
         raise ValueError("only two classes can be learned")
     back = dict(enumerate(found))
+    return with_codes(df, target, out, back), back
+
+
+def with_codes(df: DataFrame, target: str, out: str, back: dict) -> DataFrame:
+    """df plus `out`, the codes of a text target by the map back; other values have none."""
     code = F.coalesce(*[F.when(F.col(target) == v, float(k)) for k, v in back.items()]) if back else F.lit(None).cast("double")
-    return df.withColumn(out, code), back
+    return df.withColumn(out, code)
 
 
 def _quantile_edges(df: DataFrame, numeric: list[str], max_values: int) -> dict[str, np.ndarray]:

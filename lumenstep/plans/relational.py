@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenstep.functions import text as X
 from lumenstep.operators import search
 from lumenstep.operators.prep import Pipeline
+from lumenstep.operators.quality import drop_uninformative
+from lumenstep.operators.search import sample_rows, with_folds
 from lumenstep.plans._registry import query
 from lumenstep.streaming.scoring import session_counts
 
@@ -245,8 +247,18 @@ def dedupe(t):
 
 @query("select o_orderkey, (row_number() over (partition by o_orderstatus order by o_orderkey) - 1) % 5 as fold from orders")
 def cv_fold_assign(t):
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    return t.orders.select("o_orderkey", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    return with_folds(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", F.col("fold").cast("long").alias("fold"))
+
+
+@query("select o_orderkey, o_totalprice from orders where ('0x' || substr(md5('3:' || o_orderkey::varchar), 1, 13))::bigint < floor(0.2 * 4503599627370496)::bigint")
+def seeded_sample(t):
+    return sample_rows(t.orders, "o_orderkey", fraction=0.2, seed=3).select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, o_totalprice, case when o_orderkey % 2 = 0 then 1 end as half from orders")
+def drop_uninformative_columns(t):
+    x = t.orders.select("o_orderkey", "o_totalprice", F.lit("one").alias("same"), F.lit(None).cast("string").alias("nothing"), F.when(F.col("o_orderkey") % 3 == 0, 0).alias("zero"), F.when(F.col("o_orderkey") % 2 == 0, 1).alias("half"))
+    return drop_uninformative(x)
 
 
 # --- dates and customers over time ---

@@ -208,8 +208,11 @@ class StepRegressor(StepModel):
             at += len(v)
         known = df.where(F.col(f"`{self.target}`").isNotNull())
         rows = known.select(F.col(f"`{self.target}`").cast("double").alias("_y"), F.array(*[(scoring.lookup(known, k, v, lambda n: n.node_id) + start[k]).cast("int") for k, v in self.profile.items()]).alias("_l"))
-        sums = rows.select("_y", F.explode("_l").alias("i")).groupBy("i").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).collect()
-        pairs = rows.select(F.explode("_l").alias("i"), "_l").select("i", F.explode("_l").alias("j")).where("i <= j").groupBy("i", "j").count().collect()
+        # rows that fall into the same leaves of all features count as one from here on
+        alike = rows.groupBy("_l").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).persist()
+        sums = alike.select("s", "n", F.explode("_l").alias("i")).groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+        pairs = alike.select("n", F.explode("_l").alias("i"), "_l").select("n", "i", F.explode("_l").alias("j")).where("i <= j").groupBy("i", "j").agg(F.sum("n").alias("count")).collect()
+        alike.unpersist()
         n, raw = self.stats.n, np.array([x.raw for x in flat])
         count, total, both = np.zeros(at), np.zeros(at), np.zeros((at, at))
         for r in sums:

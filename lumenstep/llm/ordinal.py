@@ -185,6 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: flo
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """docs with a tail probability of at least `least`; columns of docs only."""
-    names = docs.columns
-    return fit(docs, labels, **options).score(docs).where(F.col("tail_probability") >= least).select(*[F.col(f"`{c}`") for c in names])
+    """docs with a tail probability of at least `least`; columns of docs only, whatever their names.
+
+    A null text is judged as an empty one, repeated rows fare alike, null ids match no rating.
+    """
+    inner = {c: "text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)}
+    judged = fit(docs, labels, **options).score(docs.toDF(*inner.values()))
+    return judged.where(F.col("tail_probability") >= least).select(*inner.values()).toDF(*docs.columns)

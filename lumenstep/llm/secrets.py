@@ -4,8 +4,8 @@ Base spans follow fixed patterns and always stay.  A credential often has severa
 an access identifier, a secret and an endpoint, each too weak to report alone: a random
 looking string, a host, an account name.  Such weak parts are reported only where
 complementary parts lie within SCOPE characters in the same text: an interval join of
-parts on (text, scope bucket).  A part covers at least MIN_PART characters, so a bucket
-holds a bounded number of them and no join partner list grows with the text.
+parts on (text, scope bucket).  Parts of a kind do not overlap, so a bucket holds fewer of
+them than it has characters and no join partner list grows with the text.
 
 Texts are never shuffled, only parts and the spans found.
 """
@@ -21,7 +21,7 @@ from lumenstep.llm.spans import joined, matches
 KINDS = ["assign", "access", "hex"]
 #: Names of the linked weak parts; they follow the base kinds in order.
 WEAK = ["weak_id", "weak_secret", "endpoint"]
-SCOPE, MIN_PART = 200, 6
+SCOPE = 200
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
 _VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"

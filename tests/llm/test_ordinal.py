@@ -25,3 +25,15 @@ def test_odd_rows(spark):
     assert out.columns == [*docs.columns, "expected_grade", "tail_probability"]
     assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in out.collect())
     assert accepted(docs.limit(0), two).columns == docs.columns
+
+
+def test_accepted_keeps_the_users_columns(spark):
+    from lumenstep.llm import ordinal
+
+    docs = spark.createDataFrame([(i, ("vile rot " if i % 2 else "calm good ") * 5 + str(i), 7.5, "mine") for i in range(200)] + [(None, None, 7.5, "mine")], "doc_id long, text string, tail_probability double, _c0 string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(0, 160)], "doc_id long, quality int, toxic int")
+    out = ordinal.accepted(docs, labels)
+    rows = out.collect()
+    assert out.columns == docs.columns and rows and all(r.tail_probability == 7.5 and r["_c0"] == "mine" for r in rows)
+    assert {r.doc_id for r in rows if r.doc_id is not None} == set(range(0, 200, 2))
+    assert ordinal.accepted(docs.limit(0), labels).count() == 0 and ordinal.accepted(docs, labels.limit(0)).columns == docs.columns

@@ -2,7 +2,7 @@
 
 Benchmark items become windows of WINDOW words (a shorter item is one window).  A
 training text is split into words once.  Each place is first tested on two bits of a hash
-of its window's first and last word, in a bitmap that every task holds (BITS a window, at
+of its window's first, middle and last word, in a bitmap that every task holds (BITS a window, at
 most MAX_BITS, so its size is bounded).  The few places that pass carry their whole window
 into a join with the set of windows: a broadcast hash set up to MAX_WINDOWS of them, a
 shuffled join of these places beyond.  Equal words decide, so a full bitmap costs time only.
@@ -33,10 +33,11 @@ def _joined(parts: Column, start: Column, size: Column) -> Column:
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n, gram, ends: distinct windows of each item with their hash of first and last word."""
+    """item_id, n, gram, ends: distinct windows of each item with a hash of first, middle and last word."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
     each = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
-    ends = F.xxhash64(F.element_at("w", F.col("i")), F.element_at("w", F.col("i") + F.col("n") - 1), "n")
+    word = lambda at: F.element_at("w", F.col("i") + at.cast("int"))
+    ends = F.xxhash64(word(F.lit(0)), word(F.floor(F.col("n") / 2)), word(F.col("n") - 1), "n")
     return each.select("item_id", "n", _joined(F.col("w"), F.col("i"), F.col("n")).alias("gram"), ends.alias("ends")).distinct()
 
 
@@ -64,7 +65,7 @@ def _candidates(grams: DataFrame) -> Column:
     parts = ["cast(array() as array<struct<at:int,n:int,gram:string>>)"]
     for n in lengths:
         tests = " and ".join(f"getbit({bitmap}[cast(shiftright({p}, 6) as int)], cast({p} & 63 as int)) = 1" for p in _probes("h", bits))
-        passes = f"exists(array(xxhash64(w[i - 1], w[i + {n - 2}], {n})), h -> {tests})"
+        passes = f"exists(array(xxhash64(w[i - 1], w[i - 1 + {n // 2}], w[i + {n - 2}], {n})), h -> {tests})"
         at = f"filter(sequence(1, size(w) - {n - 1}), i -> {passes})"
         parts.append(f"if(size(w) < {n}, {parts[0]}, transform({at}, i -> struct(i as at, {n} as n, array_join(slice(w, i, {n}), ' ') as gram)))")
     return F.expr(f"concat({', '.join(parts)})")

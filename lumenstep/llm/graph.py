@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenstep.llm._common import settled
+from lumenstep.llm._common import settled, small_side
+
+#: The least neighbour of a node with more links than this is broadcast to its links.
+HOT_LINKS, MAX_BROADCAST_NODES = 128, 1_000_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v, m) of edges (u, v) and least (u, m, n links); the links of a hot node stay where they are.
+
+    Hot nodes beyond MAX_BROADCAST_NODES are joined by a shuffle of two plain sides, which AQE can split.
+    """
+    hot = small_side(least.where(F.col("n") > HOT_LINKS).select("u", F.col("m").alias("hot")), MAX_BROADCAST_NODES)
+    marked = edges.join(hot, "u", "left")
+    few = marked.where("hot is null").join(least.where(F.col("n") <= HOT_LINKS), "u")
+    return marked.where("hot is not null").select("u", "v", F.col("hot").alias("m")).union(few.select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = settled(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,8 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of `edges` (u, v) that is not itself the smallest node reachable, its component.
 
     Self links and repeated links do no harm; null ends must not occur.
-    A group of links never meets in one task: minima are pre-aggregated, joins can be
-    split where they are skewed.  Each round is checkpointed.
+    A group of links never meets in one task: minima are pre-aggregated and broadcast to
+    the links of hot nodes.  Each round is checkpointed.
     """
     edges = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):

@@ -215,3 +215,48 @@ def train_test_split(t):
 @query("select r_regionkey, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::varchar as record from region")
 def json_records(t):
     return t.region.select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("record"))
+
+
+# --- samples and columns to drop ---
+
+_HASH = "('0x' || substr(md5('7:' || o_orderkey::varchar), 1, 13))::bigint"
+
+
+@query(f"select o_orderkey from orders where {_HASH} < {int(0.1 * (1 << 52))}")
+def sample_fraction(t):
+    return search.sample_rows(t.orders, "o_orderkey", fraction=0.1, seed=7).select("o_orderkey")
+
+
+@query(f"select o_orderkey from orders order by {_HASH}, o_orderkey limit 100")
+def sample_count(t):
+    return search.sample_rows(t.orders, "o_orderkey", n=100, seed=7).select("o_orderkey")
+
+
+_ODD = {
+    "o_orderkey": "o_orderkey", "o_totalprice": "o_totalprice", "zero": "0", "same": "'x'", "zeros": "case when o_orderkey % 2 = 0 then 0 end",
+    "none": "cast(null as double)", "partly": "nullif(o_orderpriority, '5-LOW')",
+}
+_ODD_COLUMNS = [f"{x} as {c}" for c, x in _ODD.items()]
+
+
+@query(
+    f"with o as (select {', '.join(_ODD_COLUMNS)} from orders) "
+    + " union all ".join(
+        f"select '{c}' as \"column\" from o having count({c}) = 0 or count(distinct {c}) = 1 and count({c}) = count(*)"
+        + (f" or count(*) filter ({c} <> 0) = 0" if c not in ("same", "partly") else "")
+        for c in _ODD
+    )
+)
+def uninformative_columns(t):
+    odd = t.orders.selectExpr(*_ODD_COLUMNS)
+    return t.spark.createDataFrame([(c,) for c in quality.uninformative(odd)], "column string")
+
+
+@query(
+    f"select 'mae' as measure, round(avg(abs(y - p)), 4) as value from (select o_totalprice as y, {_GUESS} as p from orders) "
+    f"union all select 'observed_max', max(o_totalprice) from orders union all select 'observed_min', min(o_totalprice) from orders "
+    f"union all select 'rmse', round(sqrt(avg((y - p) * (y - p))), 4) from (select o_totalprice as y, {_GUESS} as p from orders)"
+)
+def regression_bundle(t):
+    found = metrics.evaluate_regressor(t.orders.withColumn("p", F.expr(_GUESS)), "o_totalprice", "p")
+    return t.spark.createDataFrame([(k, float(found[k])) for k in ("mae", "rmse", "observed_min", "observed_max")], "measure string, value double").withColumn("value", r("value", 4))

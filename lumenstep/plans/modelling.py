@@ -351,7 +351,28 @@ def target_path(t):
     return t.spark.createDataFrame([(k, n.category or "null", n.score) for k, n in search.reach_target(model, 0.7).items()], "feature string, category string, score double")
 
 
-@query()
+# --- models of partitions and parts of a score ---
+
+
+@query(
+    _PROFILE
+    + ", w as (select lng.doc_id, lng.f as feature, norm.s as contribution, bv + sum(norm.s) over (partition by lng.doc_id order by abs(norm.s), lng.f rows unbounded preceding) as running "
+    "from lng join norm on lng.f = norm.f and lng.v = norm.v cross join g where norm.s <> 0) select doc_id, feature, round(contribution, 6) as contribution, round(running, 6) as running from w"
+)
 def waterfall(t):
     model, d = _docs_model(t)
-    return rules.waterfall(model.explain(d), "doc_id", model.features, model.base)
+    return rules.waterfall(model.explain(d), "doc_id", model.features, model.base).withColumns({c: r(c) for c in ("contribution", "running")})
+
+
+@query(
+    "with base as (select d.doc_id, d.lang, d.source, l.quality::double as y from documents d join labels l on d.doc_id = l.doc_id), "
+    "g as (select lang, count(*)::double as n, avg(y) as bv from base group by lang), "
+    "raw as (select lang, source, count(*) / min(n) * (avg(y) - min(bv)) as r from base join g using (lang) group by lang, source), "
+    "ext as (select lang, least(min(r), 0) as smin, greatest(max(r), 0) as smax from raw group by lang), "
+    "s as (select doc_id, bv, case when r = 0 then 0.0::double when r < 0 then abs(r) / smin * bv else r / smax * (1 - bv) end as s from base join g using (lang) join ext using (lang) join raw using (lang, source)) "
+    "select doc_id, round(s, 6) as contribution_source, round(bv, 6) as base_value, round(bv + s, 6) as score from s"
+)
+def partition_explain(t):
+    d = rated(t)
+    out = PartitionedModel().fit(d, "y", "lang", ["source"]).explain(d)
+    return out.select("doc_id", *[r(c).alias(c) for c in ("contribution_source", "base_value", "score")])

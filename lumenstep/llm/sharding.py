@@ -18,6 +18,7 @@ from lumenstep.llm._common import running_sum, settled
 
 CELL, TIE = 20, 32
 HALF = 16
+SEGMENT = 8
 SLOT_BUCKETS = 12
 MAX_LONG = (1 << 63) - 1
 #: A leaf adds some twenty bytes to the plan; 100 TB in leaves of a GB are 100,000.
@@ -87,12 +88,19 @@ def _by_node(nodes: dict[int, int], first: int, other: int = MAX_LONG) -> Column
 def _crossing(rows: DataFrame) -> dict[int, tuple[int, int, int]]:
     """node: (b, sum before, sum in it) of the first bucket b at which the sum along the node exceeds its goal.
 
-    At most 2**HALF sums a node, pre-aggregated, meet in a task, whatever the number of rows.
+    Sums of segments are followed along a node first, then the buckets of the one segment
+    that crosses: at most 2**(HALF - SEGMENT) and 2**SEGMENT rows a node meet in a task,
+    whatever the number of rows.  The side broadcast has a row a node, at most MAX_SHARDS.
     """
-    sums = rows.groupBy("node", "goal", "b").agg(F.sum("size").alias("s"))
-    along = Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    over = sums.withColumn("upto", F.sum("s").over(along)).where("goal < upto")
-    return {r.node: (r.x.b, r.x.before, r.x.s) for r in over.groupBy("node").agg(F.min(F.struct("b", (F.col("upto") - F.col("s")).alias("before"), "s")).alias("x")).collect()}
+    sums = rows.groupBy("node", "goal", "b").agg(F.sum("size").alias("s")).withColumn("segment", F.shiftright("b", SEGMENT))
+
+    def first(parts: DataFrame, at: str, start: Column) -> DataFrame:
+        along = Window.partitionBy("node").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        over = parts.withColumn("upto", start + F.sum("s").over(along)).where("goal < upto")
+        return over.groupBy("node").agg(F.min(F.struct(F.col(at).alias("at"), (F.col("upto") - F.col("s")).alias("before"), "s")).alias("x"))
+
+    crossed = first(sums.groupBy("node", "goal", "segment").agg(F.sum("s").alias("s")), "segment", F.lit(0)).select("node", F.col("x.at").alias("segment"), F.col("x.before").alias("start"))
+    return {r.node: (r.x.at, r.x.before, r.x.s) for r in first(sums.join(F.broadcast(crossed), ["node", "segment"]), "b", F.col("start")).collect()}
 
 
 def tree(base: DataFrame, shards: int) -> tuple[list[dict[int, tuple[int, int]]], dict[int, int]]:

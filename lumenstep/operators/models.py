@@ -103,6 +103,15 @@ class StepModel:
     def profile_frame(self, spark) -> DataFrame:
         return spark.createDataFrame([tuple(asdict(n).values()) for v in self.profile.values() for n in v], PROFILE_DDL)
 
+    def nested_profile(self) -> dict:
+        """base_value, numeric and categorical: the nodes of each feature as dicts, the null node last; no nodes where only one is left."""
+        out: dict = {"base_value": self.base, "numeric": {}, "categorical": {}}
+        for k, nodes in self.profile.items():
+            kind = "numeric" if any(n.kind == "numeric" for n in nodes) else "categorical"
+            edges = ("lower", "upper") if kind == "numeric" else ("category",)
+            out[kind][k] = [{name: getattr(n, name) for name in (*edges, "score", "mean", "freq")} for n in nodes] if len(nodes) > 1 else []
+        return out
+
     def plot_data(self, spark, rounding: int = 5) -> DataFrame:
         """Chart rows: a label for each leaf with contribution, mean and frequency."""
         edge = lambda c: F.round(c, rounding).cast("string")

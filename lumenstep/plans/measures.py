@@ -9,6 +9,7 @@ from lumenstep.operators import metrics, quality, rules, search, stats
 from lumenstep.operators.models import StepClassifier
 from lumenstep.plans._registry import query
 from lumenstep.plans.modelling import _CONFUSION, _LEVERS, _PROFILE, _SPLITS, _docs_model, _levers, _scored, priced, r, returned
+from lumenstep.sources import tables
 
 # --- encodings and nodes ---
 
@@ -140,6 +141,19 @@ def node_degree(t):
     return _edges(t, 0.002).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+_CELLS = "c as (select l_quantity as a, l_discount as b, count(*)::double as n from lineitem group by all)"
+
+
+@query(
+    f"with {_CELLS}, p as (select sum(case when (x.a - y.a) * (x.b - y.b) > 0 then x.n * y.n when (x.a - y.a) * (x.b - y.b) < 0 then -x.n * y.n else 0 end) / 2 as s from c x cross join c y), "
+    "t as (select sum(n) * (sum(n) - 1) / 2 as k from c), ta as (select sum(n * (n - 1) / 2) as k from (select sum(n) as n from c group by a)), tb as (select sum(n * (n - 1) / 2) as k from (select sum(n) as n from c group by b)) "
+    "select round(s / sqrt((t.k - ta.k) * (t.k - tb.k)), 6) as tau from p, t, ta, tb"
+)
+def corr_kendall(t):
+    found = search.correlations(t.lineitem, ["l_quantity", "l_discount"], "kendall")
+    return t.spark.createDataFrame([(v,) for v in found.values()], "tau double").select(r("tau").alias("tau"))
+
+
 @query(
     "select 'status' as \"column\", round(avg((o_orderstatus = 'P')::int::double), 6) as missing_pct from orders union all select 'priority', round(avg((o_orderpriority = '5-LOW')::int::double), 6) from orders"
 )
@@ -171,6 +185,42 @@ def url_features(t):
     return t.pages.select("page_id", X.urls(F.col("html")).cast("long").alias("urls"), F.length(X.without_urls(F.col("html"))).cast("long").alias("rest"))
 
 
+@query(
+    f"with d as (select doc_id, quality::double as y, {_WORDS} as w from documents natural join labels), g as (select count(*)::double as n, avg(y) as b from d), "
+    "m as (select token, avg(y) - min(b) as s, count(*) / min(n) as f from (select y, unnest(list_distinct(w)) as token from d) cross join g group by token), "
+    "k as (select doc_id, unnest(w) as token, unnest(range(1, len(w) + 1)) as i from d) "
+    "select doc_id, i, token, round(coalesce(s, 0), 5) as score from k left join (select * from m where f > 0.05 and f < 0.7) using (token)"
+)
+def token_scores(t):
+    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
+    features = X.TextFeatures("text", drop_stop_words=False).fit(d, "quality", min_word=0.05)
+    out = features.map_scores(d).select("doc_id", F.posexplode("token_scores").alias("i", "x"))
+    return out.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "x.token", r("x.score", 5).alias("score"))
+
+
+@query()
+def text_bounds_search(t):
+    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    tuned = search.TextSearch(X.TextFeatures("text"), n_trials=3, spaces=search.TEXT_SPACES | {"min_word": [0.02, 0.05, 0.1], "max_word": [0.5, 0.7, 0.9]})
+    best = tuned.optimise(d.where(~held), d.where(held), "quality", id_columns=("doc_id",))
+    return t.spark.createDataFrame([(k, float(v)) for k, v in sorted(best.items())], "bound string, value double")
+
+
+@query("select o_custkey, list_aggregate(list_transform(range(1, len(k) + 1, 7), lambda i: len(k[i:i + 6])), 'string_agg', ',') as sizes from (select o_custkey, list(o_orderkey) as k from orders group by o_custkey)")
+def chunk_lists(t):
+    k = t.orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k"))
+    parts = X.chunks(F.col("k"), 7)
+    return k.where(F.flatten(parts) == F.col("k")).select("o_custkey", F.array_join(F.transform(parts, lambda p: F.size(p).cast("string")), ",").alias("sizes"))
+
+
+@query("select c_custkey, unnest([c_nationkey, c_nationkey + 1]) as nation, unnest(['home', 'next']) as tag from customer")
+def nested_records(t):
+    one = lambda n, tag: F.struct(n.alias("nation"), F.lit(tag).alias("tag"))
+    c = t.customer.select("c_custkey", F.to_json(F.array(one(F.col("c_nationkey"), "home"), one(F.col("c_nationkey") + 1, "next"))).alias("body"))
+    return tables.unnested(c, "body", "nation long, tag string")
+
+
 # --- scalars ---
 
 

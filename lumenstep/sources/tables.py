@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,11 +41,35 @@ def read_excel(spark: SparkSession, path: str, sheets: list[str] | None = None)
     return out
 
 
+def _finite(c: Column, kind: T.DataType, fill) -> Column:
+    """c with NaN and infinities as fill, inside arrays, structs and maps too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), F.lit(fill)).otherwise(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType, fill))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _finite(x, kind.valueType, fill))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c.getField(f.name), f.dataType, fill).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    return any(word in kind.simpleString() for word in ("double", "float"))
+
+
 def json_safe(df: DataFrame, fill=None) -> DataFrame:
-    """NaN and infinities as `fill` (null)."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    odd = lambda c: F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))
-    return df.withColumns({c: F.when(odd(c), F.lit(fill)).otherwise(F.col(c)) for c in floats})
+    """NaN and infinities as `fill` (null), nested ones included."""
+    return df.withColumns({f.name: _finite(F.col(f"`{f.name}`"), f.dataType, fill) for f in df.schema.fields if _has_floats(f.dataType)})
+
+
+def unnested(df: DataFrame, column: str, ddl: str) -> DataFrame:
+    """A row for each record of a JSON list in `column` (ddl describes a record), its fields beside the other columns.
+
+    Texts that are null, no list or empty give one row of null fields.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return df.select(*rest, F.inline_outer(F.from_json(F.col(f"`{column}`"), f"array<struct<{ddl}>>")))
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -97,6 +121,22 @@ class ModelStore:
         return Pipeline.compile(json.loads(self._body(name, "pipeline", version)))
 
 
+class MetricHistory:
+    """Measured values by name and time as Parquet rows (name, version, metrics, at) under a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def add(self, name: str, metrics: dict[str, float], version: str = "") -> None:
+        row = self.spark.createDataFrame([(name, version, {k: float(v) for k, v in metrics.items()})], "name string, version string, metrics map<string,double>")
+        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def latest(self, keep: int = 10) -> DataFrame:
+        """The last `keep` entries of each name."""
+        newest = Window.partitionBy("name").orderBy(F.desc("at"))
+        return self.spark.read.parquet(self.folder).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep).drop("_n")
+
+
 def score_file(spark: SparkSession, path: str, model: StepModel, threshold: float = 0.5, sep: str = ",", schema: str | None = None) -> DataFrame:
     """Batch inference over a CSV."""
     df = read_csv(spark, path, schema, sep=sep)

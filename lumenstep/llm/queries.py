@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstep.llm import chat, context_tree, decontaminate, mixing, near_dedup, ordinal, pii, secrets, sharding, topk
+import public_tokenizers
+from lumenstep.llm import byte_bpe, chat, context_tree, decontaminate, mixing, near_dedup, ordinal, pii, prefix_trie, secrets, sharding, spelling, topk
 
 #: Quality weight of a document in the mix, by its label.
 GOOD, POOR = 2.0, 0.5
@@ -65,12 +66,46 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_mixing, op4_near_dedup, op5_secrets, op6_decontamination, op7_chat, op8_lm_score, op9_quality, op10_topk)}
+def op11_spelling(spark, sf_dir):
+    """All words of the documents with their near words, forms and roots."""
+    return spelling.variants(spelling.vocabulary(spelling.slipped(_table(spark, sf_dir, "documents"))))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    """All nodes of the trie of the rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    """Digests of the token ids of every document, and of the bytes read back from them."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_sharding, op3_mixing, op4_near_dedup, op5_secrets, op6_decontamination, op7_chat, op8_lm_score, op9_quality, op10_topk,
+        op11_spelling, op12_prefix_trie, op13_byte_bpe,
+    )
+}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Table of crc32 by byte, and the unsigned crc32 of the UTF-8 bytes of a text.
+_CRC_TABLE = "crc as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t from range(256) r(i))"
+
+
+def _crc32(text: str) -> str:
+    bytes_of = f"list_transform(range(length(hex({text})) // 2), lambda i: ('0x' || hex({text})[2 * i + 1 : 2 * i + 2])::bigint)"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295)"
+
+
 ORACLE_SQL = {
     "op3_mixing": f"""
 with recursive d as (
@@ -124,5 +159,41 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::do
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
+""",
+    "op11_spelling": f"""
+with recursive {_CRC_TABLE},
+r as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+g as (select id, run, count(*) as n from r where length(run) >= 5 group by all),
+h as (select run, n, {_crc32("(id || ':' || run)")} as h from g, crc),
+w as (select case when h % 97 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, sum(n)::bigint as n from h group by word),
+v as (select word, n from w where length(word) >= 5 and n >= 3),
+p as (select word, n, unnest(generate_series(1, length(word))) as i from v),
+x as (select word, n, i, word[1 : i - 1] || word[i + 1 :] as less from p),
+pairs as (select distinct a.word, b.word as near from x a join v b on a.less = b.word
+  union select distinct b.word, a.word from x a join v b on a.less = b.word
+  union select distinct a.word, b.word from x a join x b on a.i = b.i and a.less = b.less and length(a.word) = length(b.word) and a.word <> b.word),
+s as (select v.word, v.n, count(near) as n_near, min(struct_pack(less := -m.n, near := near)) as best
+  from v left join pairs on v.word = pairs.word left join v m on m.word = near group by all),
+f as (select word, n, n_near, case when -best.less >= 2 * n then best.near end as form, case when -best.less >= 2 * n then -best.less end as form_n from s),
+up(word, root) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.root where f.form is not null),
+last as (select up.word, root from up join f on f.word = up.root where f.form is null)
+select f.word, n, n_near, form, form_n, root from f join last on last.word = f.word
+""",
+    "op12_prefix_trie": f"""
+with {_CRC_TABLE},
+c as (select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as s
+  from conversations where conv_id is not null group by conv_id),
+h as (select *, {_crc32("conv_id::varchar")} % 9 as h from c, crc),
+b as (select h.conv_id, coalesce(c.s[1 : h], []) || h.s[h + 1 :] as s from h left join c on c.conv_id = h.conv_id - h.conv_id % 5),
+q as (select s, len(s)::bigint as depth, min(conv_id) as conv_id, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) as line from b group by s),
+p as (select s, n, conv_id, line, unnest(generate_series(0, len(s))) as d from q),
+nodes as (select s[1 : d] as path, d as depth, min(conv_id) as conv_id, sum(n)::bigint as n_convs, max(case when d = len(s) then line end) as line from p group by all),
+kids as (select path[1 : depth - 1] as over, count(*) as n_children from nodes where depth > 0 group by over),
+own as (select nodes.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * strlen(path[depth].t) end as saved
+  from nodes left join kids on over = path),
+below as (select path[1 : d] as top, sum(case when n_children = 0 then 1 else 0 end)::bigint as n_leaves, sum(saved)::bigint as saved_tokens
+  from (select *, unnest(generate_series(0, depth)) as d from own) group by top)
+select own.conv_id, own.depth, up.conv_id as parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(coalesce(own.line, '')) as ends_sha256
+from own join below on top = own.path left join nodes up on up.path = own.path[1 : own.depth - 1] and up.depth = own.depth - 1
 """,
 }

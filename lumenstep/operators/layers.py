@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenstep.operators import scoring
+from lumenstep.operators.evolution import Evolve, LeafIndex, evolve
 from lumenstep.operators.models import StepRegressor
+from lumenstep.operators.written import settled
+
+__all__ = ["Evolve", "LeafOptimiser", "Tighten", "step_gains"]
 
 
 @dataclass
@@ -24,23 +26,17 @@ class Tighten:
     early_stopping: int | None = None
 
 
-@dataclass
-class Evolve:
-    """A genetic search over leaf scores; a whole generation is scored in one job."""
-
-    mutations: int = 100
-    generations: int = 50
-    max_severity: float = 0.5
-    max_leaves: int = 20
-    early_stopping: int | None = None
-    seed: int = 1
-
-
 @dataclass
 class LeafOptimiser:
-    """Runs layers over a model in order; `subset` freezes the other features."""
+    """Runs layers over a model in order; `subset` freezes the other features.
+
+    apply_range rates predictions as the model clips them.  callback(layer, step, error) is
+    called after every step of a layer.
+    """
 
     model: StepRegressor
+    apply_range: bool = False
+    callback: Callable[[int, int, float], None] = lambda *_: None
     layers: list = field(default_factory=list)
     completed: list = field(default_factory=list)
 
@@ -55,7 +51,7 @@ class LeafOptimiser:
         self.layers.clear()
 
     def fit(self, df: DataFrame, subset: list[str] | None = None) -> LeafOptimiser:
-        """Leaf ids of all features and the target, written once and read by each step."""
+        """Target, frozen part and leaf ids of each row, written once with an index from leaves to rows."""
         m = self.model
         self.names = subset or m.features
         self.start, at = {}, 0
@@ -69,31 +65,21 @@ class LeafOptimiser:
             if k not in self.names:
                 fixed = fixed + scoring.lookup(known, k, m.profile[k], lambda n: n.score)
         ids = F.array(*[(scoring.lookup(known, k, m.profile[k], lambda n: n.node_id) + self.start[k]).cast("int") for k in self.names])
-        self.rows = known.select((F.col(f"`{m.target}`").cast("double") - fixed).alias("rest"), ids.alias("leaves")).persist()
+        self.rows = settled(known.select(F.col(f"`{m.target}`").cast("double").alias("y"), fixed.alias("fixed"), ids.alias("leaves")))
+        bounds = [x if x is not None and self.apply_range else s * np.inf for x, s in zip(m.prediction_range, (-1, 1))]
+        self.index = LeafIndex(self.rows, len(self.scores), *bounds)
         return self
 
     def errors(self, population: np.ndarray) -> np.ndarray:
         """Mean absolute error of each score vector (rows of population)."""
+        return np.array([self.index.rated(scores, [{}])[0] for scores in population])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(len(population)), 0
-            for b in batches:
-                leaves = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                rest = b.column(0).to_numpy()
-                for i, scores in enumerate(population):
-                    total[i] += np.abs(scores[leaves].sum(axis=1) - rest).sum()
-                n += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(population))), pa.array(total), pa.array(np.full(len(population), n))], names=["i", "total", "n"])
-
-        found = self.rows.mapInArrow(run, "i long, total double, n long").groupBy("i").agg((F.sum("total") / F.sum("n")).alias("e")).collect()
-        return np.array([r.e for r in sorted(found, key=lambda r: r.i)])
-
-    def _tighten(self, layer: Tighten) -> None:
+    def _tighten(self, layer: Tighten, progress: Callable[[int, float], None]) -> None:
         best, best_scores, since = self.errors(self.scores[None])[0], self.scores.copy(), 0
         scores = self.scores.copy()
-        for _ in range(layer.iterations):
+        for step in range(layer.iterations):
             table = F.array(*[F.lit(float(s)) for s in scores])
-            err = self.rows.select("leaves", (F.aggregate("leaves", F.lit(0.0), lambda a, i: a + F.element_at(table, i + 1)) - F.col("rest")).alias("e"))
+            err = self.rows.select("leaves", (F.aggregate("leaves", F.lit(0.0), lambda a, i: a + F.element_at(table, i + 1)) + F.col("fixed") - F.col("y")).alias("e"))
             per = step_gains(err.select(F.explode("leaves").alias("leaf"), "e")).collect()
             top = max(per, key=lambda r: (max(r.inc, r.dec), -r.leaf))
             if max(top.inc, top.dec) <= 0:
@@ -102,41 +88,22 @@ class LeafOptimiser:
             scores[top.leaf] += (1 if up else -1) * np.sqrt(top.um if up else top.om) * layer.learning_rate
             now = self.errors(scores[None])[0]
             since = 0 if now < best else since + 1
+            progress(step, float(now))
             if now < best:
                 best, best_scores = now, scores.copy()
             if layer.early_stopping and since >= layer.early_stopping:
                 break
         self.scores = best_scores
 
-    def _evolve(self, layer: Evolve) -> None:
-        rng = random.Random(layer.seed)
-        pool, error, since = [self.scores.copy()], self.errors(self.scores[None])[0], 0
-        best = self.scores.copy()
-        for _ in range(layer.generations):
-            trial = []
-            for _ in range(layer.mutations):
-                a, b = rng.choice(pool), rng.choice(pool)
-                child = (a + b) / 2
-                for i in rng.sample(range(len(child)), min(len(child), rng.randint(1, layer.max_leaves))):
-                    child[i] *= 1 + rng.uniform(-layer.max_severity, layer.max_severity)
-                trial.append(child)
-            found = self.errors(np.array(trial))
-            order = np.argsort(found, kind="stable")
-            pool = [best, *[trial[i] for i in order if found[i] < error][: layer.mutations // 2]]
-            if found[order[0]] < error:
-                best, error, since = trial[order[0]], found[order[0]], 0
-                pool.append(best)
-            else:
-                since += 1
-                if layer.early_stopping and since >= layer.early_stopping:
-                    break
-        self.scores = best
-
     def optimise(self) -> StepRegressor:
         """Run the layers left; the best scores found are written back into the model."""
         while self.layers:
             layer = self.layers.pop(0)
-            self._tighten(layer) if isinstance(layer, Tighten) else self._evolve(layer)
+            progress = lambda step, error, at=len(self.completed): self.callback(at, step, error)
+            if isinstance(layer, Tighten):
+                self._tighten(layer, progress)
+            else:
+                self.scores = evolve(self.index, self.scores, layer, progress)
             self.completed.append(layer)
         for k in self.names:
             own = self.scores[self.start[k] : self.start[k] + len(self.model.profile[k])]
@@ -146,10 +113,14 @@ class LeafOptimiser:
 
 
 def step_gains(errors: DataFrame) -> DataFrame:
-    """leaf, um, om, inc, dec from (leaf, e): what raising or lowering a leaf would gain."""
-    e = F.col("e")
-    per = errors.groupBy("leaf").agg(
-        F.coalesce(F.avg(F.when(e < 0, -e)), F.lit(0.0)).alias("um"), F.count_if(e < 0).alias("uc"),
-        F.coalesce(F.avg(F.when(e > 0, e)), F.lit(0.0)).alias("om"), F.count_if(e > 0).alias("oc"), F.count_if(e == 0).alias("ec"),
-    )
-    return per.withColumn("inc", F.expr("um * uc - um * oc - um * ec")).withColumn("dec", F.expr("om * oc - om * uc - om * ec"))
+    """leaf, um, om, inc, dec from (leaf, e): what raising or lowering a leaf would gain.
+
+    Shifting a leaf by the mean error of one side helps the rows of that side and harms all
+    others as much: gain = mean error of the side * (2 * rows on the side - all rows).
+    um, uc: mean error and rows where the prediction is too low; om, oc: too high; ec: exact.
+    """
+    low, high = F.col("e") < 0, F.col("e") > 0
+    mean = lambda side: F.coalesce(F.avg(F.when(side, F.abs("e"))), F.lit(0.0))
+    per = errors.groupBy("leaf").agg(mean(low).alias("um"), F.count_if(low).alias("uc"), mean(high).alias("om"), F.count_if(high).alias("oc"), F.count_if(F.col("e") == 0).alias("ec"))
+    rows = F.col("uc") + F.col("oc") + F.col("ec")
+    return per.withColumn("inc", F.col("um") * (2 * F.col("uc") - rows)).withColumn("dec", F.col("om") * (2 * F.col("oc") - rows))

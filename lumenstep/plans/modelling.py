@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstep.operators import layers, metrics, quality, rules, search
+from lumenstep.operators import evolution, layers, metrics, quality, rules, search
 from lumenstep.operators.models import PartitionedModel, StepClassifier, StepRegressor, surrogate
 from lumenstep.operators.params import StepParams
 from lumenstep.plans._registry import Tables, query
@@ -232,6 +235,37 @@ def tighten_step(t):
     return layers.step_gains(e).select("leaf", r("um", 4).alias("um"), "uc", r("om", 4).alias("om"), "oc", "ec")
 
 
+#: Scores of 20 leaves (priority, month, status) and seeded mutations of them.
+_POOL, _DRAW = evolution.Evolve(mutations=24, max_leaves=6), random.Random(8)
+_MUTATIONS = [_POOL.mutate(20, _DRAW) for _ in range(_POOL.mutations)]
+_FACTORS = ", ".join(f"({m}, {leaf}, {factor!r}::double)" for m, x in enumerate(_MUTATIONS) for leaf, factor in x.items())
+
+
+@query(
+    f"""with f(mutation, leaf, factor) as (values {_FACTORS}),
+w as (select l.leaf, m.mutation, 5000.0::double * (l.leaf % 7 - 2) * coalesce(f.factor, 1) as score from range(20) l(leaf) cross join range({len(_MUTATIONS)}) m(mutation)
+  left join f on f.leaf = l.leaf and f.mutation = m.mutation),
+o as (select o_orderkey, o_totalprice - 140000 as y, unnest([substr(o_orderpriority, 1, 1)::int - 1, month(o_orderdate)::int + 4, case o_orderstatus when 'F' then 17 when 'O' then 18 else 19 end]) as leaf from orders),
+e as (select mutation, o_orderkey, sum(score) - min(y) as e from o join w on w.leaf = o.leaf group by all),
+r as (select mutation, avg(abs(e)) as error from e group by mutation),
+b as (select avg(abs(e)) as target from (select o_orderkey, sum(5000.0::double * (leaf % 7 - 2)) - min(y) as e from o group by o_orderkey)),
+s as (select r.*, target, error < target as better from r cross join b)
+select mutation, round(error, 4) as error, better, case when better then row_number() over (partition by better order by error, mutation) end as place,
+  round(coalesce((select avg(error) from s where better), target), 4) as next_target from s"""
+)
+def evolve_generation(t):
+    """One selection of seeded mutations: errors from the index, ranks of the better ones, the moved target."""
+    status = F.when(F.col("o_orderstatus") == "F", 17).when(F.col("o_orderstatus") == "O", 18).otherwise(19)
+    leaves = F.array(F.substring("o_orderpriority", 1, 1).cast("int") - 1, F.month("o_orderdate") + 4, status)
+    index = evolution.LeafIndex(t.orders.select((F.col("o_totalprice") - 140000).alias("y"), F.lit(0.0).alias("fixed"), leaves.alias("leaves")), 20)
+    scores = np.array([5000.0 * (i % 7 - 2) for i in range(20)])
+    found, now = index.rated(scores, _MUTATIONS), float(index.rated(scores, [{}])[0])
+    better, _, target = evolution.selected(list(range(len(found))), found, now)
+    places = {m: k + 1 for k, m in enumerate(better)}
+    rows = [(m, float(e), m in places, places.get(m), target) for m, e in enumerate(found)]
+    return t.spark.createDataFrame(rows, "mutation long, error double, better boolean, place long, next_target double").select("mutation", r("error", 4).alias("error"), "better", "place", r("next_target", 4).alias("next_target"))
+
+
 @query("select round(avg(abs(e)), 4) as mae, round(avg(e * e), 0) as mse, round(sqrt(avg(e * e)), 4) as rmse, round(1 - avg(e * e) / var_pop(o_totalprice), 6) as r2, round(1 - var_pop(e) / var_pop(o_totalprice), 6) as evs, round(avg(abs(e) / greatest(abs(o_totalprice), 2.220446049250313e-16)), 6) as mape from (select o_totalprice, o_totalprice - 150000 as e from orders)")
 def reg_metrics(t):
     m = metrics.regression(t.orders.withColumn("p", F.lit(150000.0)), "o_totalprice", "p")

@@ -180,6 +180,30 @@ def sentiment_unigram(t):
     return out.select("doc_id", r("nlp_pos", 5).alias("pos"), F.col("nlp_pos_count").cast("long").alias("pos_count"), r("nlp_neg", 5).alias("neg"), F.col("nlp_neg_count").cast("long").alias("neg_count"))
 
 
+@query(
+    f"""with d as (select doc_id, quality::double as y, {_WORDS} as w from documents natural join labels),
+g as (select count(*)::double as n, avg(y) as b from d),
+w2 as (select doc_id, y, case when len(w) > 1 then list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) else [] end as p from d),
+m1 as (select token, avg(y) - min(b) as s from (select y, unnest(list_distinct(w)) as token from d) cross join g group by token having count(*) / min(n) > 0.02 and count(*) / min(n) < 0.9),
+m2 as (select token, avg(y) - min(b) as s from (select y, unnest(list_distinct(p)) as token from w2) cross join g group by token having count(*) / min(n) > 0.02 and count(*) / min(n) < 0.9),
+h as (select doc_id, token, place, s, sign(s) as up from (select doc_id, unnest(p) as token, unnest(range(len(p))) as place from w2) join m2 using (token) where s <> 0),
+h2 as (select doc_id, up, sum(s) as total, count(*) as n from h group by all),
+first as (select doc_id, up, list(token order by place) as grams from (select doc_id, up, token, min(place) as place from h group by all) group by all),
+left_over as (select d.doc_id, u.up, list_reduce(coalesce(grams, []), lambda acc, x: replace(acc, ' ' || replace(x, ' ', '  ') || ' ', ' '), ' ' || array_to_string(w, '  ') || ' ') as line
+  from d cross join (values (1), (-1)) u(up) left join first f on f.doc_id = d.doc_id and f.up = u.up),
+h1 as (select doc_id, up, sum(s) as total, count(*) as n from (select doc_id, up, unnest(list_filter(string_split(line, ' '), lambda x: x <> '')) as token from left_over) join m1 using (token) where sign(s) = up group by all),
+either as (select * from h1 union all select * from h2)
+select d.doc_id, round(coalesce(sum(total) filter (up > 0), 0), 5) as pos, coalesce(sum(n) filter (up > 0), 0)::bigint as pos_count,
+  round(coalesce(sum(total) filter (up < 0), 0), 5) as neg, coalesce(sum(n) filter (up < 0), 0)::bigint as neg_count from d left join either using (doc_id) group by d.doc_id"""
+)
+def sentiment_bigrams(t):
+    """Overlapping and repeated bigrams all count; words that none of them takes count singly."""
+    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
+    bounds = {f"{side}_{kind}": v for kind in ("word", "ngram") for side, v in (("min", 0.02), ("max", 0.9))}
+    out = X.TextFeatures("text", n=2, drop_stop_words=False).fit(d, "quality", **bounds).transform(d)
+    return out.select("doc_id", r("nlp_pos", 5).alias("pos"), F.col("nlp_pos_count").alias("pos_count"), r("nlp_neg", 5).alias("neg"), F.col("nlp_neg_count").alias("neg_count"))
+
+
 @query(r"select page_id, len(regexp_extract_all(html, 'https?://[^\s]+')) as urls, length(regexp_replace(html, 'https?://[^\s]+', '', 'g')) as rest from pages")
 def url_features(t):
     return t.pages.select("page_id", X.urls(F.col("html")).cast("long").alias("urls"), F.length(X.without_urls(F.col("html"))).cast("long").alias("rest"))

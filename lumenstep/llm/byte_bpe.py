@@ -7,7 +7,7 @@ lowest rank; going left wherever the left side holds it leads to the leftmost pl
 rank.  A merge kills one position and updates the ranks at its live neighbours, each in
 logarithmic time, so a piece of n bytes takes O(n log n) however long it is.
 
-Pieces repeat, so a task keeps the ids of short ones.  Ids are packed as little-endian
+Pieces repeat, so a Python worker keeps the ids of short ones, up to a number.  Ids are packed as little-endian
 unsigned 32-bit integers.  A null text counts as empty and has no ids; empty tables stay
 empty; repeated rows each give a row; other columns are not looked at.
 """
@@ -15,6 +15,7 @@ empty; repeated rows each give a row; other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -28,7 +29,7 @@ from lumenstep.llm._common import over_texts
 #: Above every rank: no pair starts here.
 NO_PAIR = 1 << 32
 #: Ids of pieces up to so many characters are kept, at most so many pieces in a task at once.
-KEEP_CHARS, KEEP_PIECES = 48, 1 << 19
+KEEP_CHARS, KEEP_PIECES = 40, 1 << 20
 #: Texts from this length on are cut into pieces bit by bit.
 LONG_TEXT, PIECES_AT_ONCE = 1 << 20, 1 << 16
 
@@ -42,57 +43,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PairTree:
     """Lowest pair rank of a piece, over its byte positions."""
 
+    __slots__ = ("low", "size")
+
     def __init__(self, ranks: list[int]):
         """ranks: of the pair at each position."""
-        self.size = 1 << max(0, len(ranks) - 1).bit_length()
-        self.low = [NO_PAIR] * self.size + ranks + [NO_PAIR] * (self.size - len(ranks))
-        for k in range(self.size - 1, 0, -1):
-            self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
+        self.size = size = 1 << max(0, len(ranks) - 1).bit_length()
+        level = ranks + [NO_PAIR] * (size - len(ranks))
+        low = level
+        while len(level) > 1:
+            level = [a if a <= b else b for a, b in zip(level[::2], level[1::2])]
+            low = level + low
+        self.low = [NO_PAIR, *low]
 
     def leftmost_lowest(self) -> int | None:
         """The leftmost position of the lowest rank; None if no pair is left."""
-        low, k = self.low, 1
+        low, k, size = self.low, 1, self.size
         rank = low[1]
         if rank == NO_PAIR:
             return None
-        while k < self.size:
-            k *= 2
+        while k < size:
+            k += k
             if low[k] != rank:
                 k += 1
-        return k - self.size
+        return k - size
 
     def put(self, at: int, rank: int) -> None:
         low, k = self.low, at + self.size
         low[k] = rank
-        k >>= 1
-        while k:
-            best = min(low[2 * k], low[2 * k + 1])
-            if low[k] == best:
-                return
-            low[k] = best
+        while k > 1:
+            other = low[k ^ 1]
+            if other < rank:
+                rank = other
             k >>= 1
+            if low[k] == rank:
+                return
+            low[k] = rank
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
+    n, rank_of = len(piece), ranks.get
     # of the token that starts at a live position: its end, and where the token before it starts
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = PairTree([ranks.get(piece[i : i + 2], NO_PAIR) for i in range(n - 1)])
-    while (at := tree.leftmost_lowest()) is not None:
+    tree = PairTree([rank_of(piece[i : i + 2], NO_PAIR) for i in range(n - 1)])
+    put, lowest = tree.put, tree.leftmost_lowest
+    while (at := lowest()) is not None:
         gone = end[at]
         end[at] = after = end[gone]
-        if gone < n - 1:
-            tree.put(gone, NO_PAIR)
         if after < n:
             before[after] = at
-        if at < n - 1:
-            tree.put(at, ranks.get(piece[at : end[after]], NO_PAIR) if after < n else NO_PAIR)
-        if at > 0:
+            put(gone, NO_PAIR)
+            put(at, rank_of(piece[at : end[after]], NO_PAIR))
+        else:
+            if gone < n - 1:
+                put(gone, NO_PAIR)
+            put(at, NO_PAIR)
+        if at:
             left = before[at]
-            tree.put(left, ranks.get(piece[left:after], NO_PAIR))
+            put(left, rank_of(piece[left:after], NO_PAIR))
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : end[at]]])
@@ -128,12 +138,23 @@ class Encoder(dict):
         return b"".join(parts)
 
 
+#: Encoders of this Python worker by vocabulary; tasks that follow one another share what was encoded.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(name: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(ranks, pattern)
+    return _ENCODERS[name]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, ids binary) of each row; ranks of one vocabulary, which is broadcast."""
-    known = docs.sparkSession.sparkContext.broadcast(ranks)
+    known, name = docs.sparkSession.sparkContext.broadcast(ranks), (uuid.uuid4().hex, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(known.value, pattern)
+        encoder = _encoder(name, known.value, pattern)
         for batch in batches:
             ids = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_column, "ids"])

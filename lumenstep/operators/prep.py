@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenstep.operators import ranks
+
 #: type -> (fit(df, columns, params) -> state or None, apply(df, columns, params, state))
 STEPS: dict[str, tuple[Callable | None, Callable]] = {}
 
@@ -63,8 +65,11 @@ def _expression(df, columns, params, _):
 
 def _fit_fill(df, columns, params):
     own = params.get("strategies") or dict.fromkeys(columns, params.get("strategy", "median"))
-    measures = {"median": lambda c: F.percentile(F.col(c).cast("double"), 0.5), "mean": lambda c: F.avg(F.col(c).cast("double")), "mode": lambda c: F.mode(c, True), "min": F.min, "max": F.max, "constant": lambda c: F.lit(params.get("value"))}
-    return df.agg(*[measures[s](c).alias(c) for c, s in own.items()]).first().asDict()
+    measures = {"mean": lambda c: F.avg(F.col(c).cast("double")), "mode": lambda c: F.mode(c, True), "min": F.min, "max": F.max, "constant": lambda c: F.lit(params.get("value"))}
+    middle = ranks.quantiles(df, {c: F.col(c) for c, s in own.items() if s == "median"}, [0.5])
+    rest = {c: s for c, s in own.items() if s != "median"}
+    found = df.agg(*[measures[s](c).alias(c) for c, s in rest.items()]).first().asDict() if rest else {}
+    return {c: middle[c][0] if c in middle else found[c] for c in own}
 
 
 @step("FillMissing", _fit_fill)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenstep.functions import text as X
-from lumenstep.operators import metrics, quality, rules, search, stats
+from lumenstep.operators import metrics, quality, ranks, rules, search, stats
 from lumenstep.operators.models import StepClassifier
 from lumenstep.plans._registry import query
 from lumenstep.plans.modelling import _CONFUSION, _LEVERS, _PROFILE, _SPLITS, _docs_model, _levers, _scored, priced, r, returned
@@ -162,6 +162,24 @@ def scan_missing(t):
     return quality.scan(o).select("column", r("missing_pct").alias("missing_pct"))
 
 
+_SHARES = [0.0, 0.001, 0.1, 0.5, 0.9, 0.999, 1.0]
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", {p}::double as share, round(quantile_cont({c}::double, {p}), 6) as value from {t}" for t, c in (("lineitem", "l_extendedprice"), ("lineitem", "l_discount"), ("lineitem", "l_orderkey")) for p in _SHARES))
+def exact_quantiles(t):
+    """All quantiles of three columns by radix selection."""
+    columns = ["l_extendedprice", "l_discount", "l_orderkey"]
+    found = ranks.quantiles(t.lineitem, {c: F.col(c) for c in columns}, _SHARES)
+    return t.spark.createDataFrame([(c, p, float(x)) for c in columns for p, x in zip(_SHARES, found[c])], "column string, share double, value double").withColumn("value", r("value"))
+
+
+@query("with p as (select sign(a.c_acctbal - b.c_acctbal) * sign(a.c_custkey % 1009 - b.c_custkey % 1009) as s, a.c_acctbal = b.c_acctbal as ta, a.c_custkey % 1009 = b.c_custkey % 1009 as tb from customer a join customer b on a.c_custkey < b.c_custkey) select round(sum(s) / sqrt(count(*) filter (not ta)::double * count(*) filter (not tb)::double), 6) as tau from p")
+def kendall_continuous(t):
+    """A column of as many values as rows against one with ties."""
+    c = t.customer.select("c_acctbal", (F.col("c_custkey") % 1009).alias("k"))
+    return t.spark.createDataFrame([(ranks.kendall(c, "c_acctbal", "k", ranges=40),)], "tau double").select(r("tau").alias("tau"))
+
+
 # --- text ---
 
 _WORDS = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', '', 'g'), '[^a-zA-Z'']', ' ', 'g'), '''', '', 'g')), '\s+'), lambda x: x <> '')"

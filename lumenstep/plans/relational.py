@@ -144,10 +144,12 @@ def value_counts(t):
 
 @query("select count(*) as n, round(avg(l_quantity), 6) as mean, round(var_samp(l_quantity), 6) as variance, round(stddev_samp(l_quantity), 6) as std, round(skewness(l_quantity), 6) as skewness, round(kurtosis(l_quantity), 6) as kurtosis, round(quantile_cont(l_quantity, 0.25), 6) as q25, round(quantile_cont(l_quantity, 0.5), 6) as median, round(quantile_cont(l_quantity, 0.75), 6) as q75 from lineitem")
 def moments(t):
-    from lumenstep.operators.quality import numeric_measures
+    from lumenstep.operators import quality, ranks
 
-    m = numeric_measures(F.col("l_quantity"))
-    return t.lineitem.agg(F.count("*").alias("n"), *[r(m[k]).alias(k) for k in ("mean", "variance", "std", "skewness", "kurtosis", "q25", "median", "q75")])
+    m = quality.moments(F.col("l_quantity"))
+    q = ranks.quantiles(t.lineitem, {"q": F.col("l_quantity")}, list(quality.QUARTILES.values()))["q"]
+    whole = t.lineitem.agg(F.count("*").alias("n"), *[r(m[k]).alias(k) for k in ("mean", "variance", "std", "skewness", "kurtosis")])
+    return whole.withColumns({k: r(F.lit(x)) for k, x in zip(quality.QUARTILES, q)})
 
 
 @query("select count(*) filter (v is null) as missing, round(avg(case when v is null then 1.0::double else 0.0::double end), 6) as share from (select nullif(o_orderstatus, 'P') as v from orders)")

@@ -37,19 +37,6 @@ def test_token_scores_with_bigrams(spark):
     assert got == [[("good sun", 0.5), ("sun good", 0.0), ("good", 0.0), ("sun", 0.0), ("good", 0.5)], [("bad", -0.5)], []]
 
 
-def test_kendall_against_all_pairs(spark):
-    rows = [(x * 7 % 5, x * 3 % 4) for x in range(17)] + [(None, 1), (2, None)]
-    known = [p for p in rows if None not in p]
-    sign = lambda d: (d > 0) - (d < 0)
-    pairs = [(sign(p[0] - q[0]), sign(p[1] - q[1])) for i, p in enumerate(known) for q in known[:i]]
-    want = sum(a * b for a, b in pairs) / (sum(a * a for a, _ in pairs) * sum(b * b for _, b in pairs)) ** 0.5
-    df = spark.createDataFrame(rows, "a int, b int")
-    assert search.kendall(df, "a", "b") == pytest.approx(want)
-    assert search.kendall(df.limit(0), "a", "b") is None
-    with pytest.raises(ValueError):
-        search.kendall(df, "a", "b", max_values=3)
-
-
 def test_history_keeps_the_last_of_each_name(spark, tmp_path):
     history = tables.MetricHistory(spark, str(tmp_path / "h"))
     for i in range(4):

@@ -57,7 +57,8 @@ class StepModel:
         """Profile from the cached statistics alone."""
         s = self.stats
         self.base = s.base
-        self.profile = {k: tree.nodes(k, f, s.n, s.base, self.params_of(k), self.alpha, self.regression) for k, f in s.features.items()} if s.n else {}
+        grown = tree.wide_leaves(s.features, s.n, s.base, self.params_of, self.alpha) if s.n else {}
+        self.profile = {k: tree.nodes(k, f, s.n, s.base, self.params_of(k), self.alpha, self.regression, grown.get(k)) for k, f in s.features.items()} if s.n else {}
         self._normalise()
 
     def _normalise(self) -> None:

@@ -1,8 +1,9 @@
 """Sufficient statistics of all features in one pass: counts and target sums per value.
 
-Refits, folds and partitions only ever read these.  What reaches the driver is bounded:
-a numeric feature with more than `max_values` distinct values is grouped between
-approximate quantiles (`max_values` of them); a text feature with more than
+Refits, folds and partitions only ever read these.  What reaches the driver is bounded: the
+values of a numeric feature with more than about `max_values` of them stay in a written table
+in which exact splits are searched (see splits); with keys (folds, partitions) they are grouped
+between approximate quantiles (`max_values` of them).  A text feature with more than
 `max_categories` values is refused and should be condensed first (see prep).
 """
 
@@ -16,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenstep.operators import splits
+
 MAX_VALUES, MAX_CATEGORIES = 10_000, 100_000
+#: In place of the values of a wide feature in statistics that were saved.
+ABSENT = "absent"
 
 
 @dataclass
@@ -30,6 +35,8 @@ class FeatureStats:
     null_count: int = 0
     null_total: float = 0.0
     edges: np.ndarray | None = None
+    #: Values in a table (splits.WideValues); then `count` and `total` hold one number, all rows with a value.
+    wide: splits.WideValues | str | None = None
 
     def minus(self, other: FeatureStats | None) -> FeatureStats:
         """What is left without `other`, whose values are among these (leave one fold out)."""
@@ -57,7 +64,8 @@ class Stats:
     def plain(self) -> dict:
         """As lists and numbers, for JSON."""
         listed = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
-        return {"n": self.n, "total": self.total, "features": {k: {c: listed(v) for c, v in vars(f).items()} for k, f in self.features.items()}}
+        plain = lambda f: vars(f) | {"wide": None if f.wide is None else ABSENT}
+        return {"n": self.n, "total": self.total, "features": {k: {c: listed(v) for c, v in plain(f).items()} for k, f in self.features.items()}}
 
     @staticmethod
     def of_plain(d: dict) -> Stats:
@@ -129,11 +137,13 @@ def with_codes(df: DataFrame, target: str, out: str, back: dict) -> DataFrame:
     return df.withColumn(out, code)
 
 
-def _quantile_edges(df: DataFrame, numeric: list[str], max_values: int) -> dict[str, np.ndarray]:
-    if not numeric:
-        return {}
-    sizes = df.agg(*[F.approx_count_distinct(number(c)).alias(str(i)) for i, c in enumerate(numeric)]).first()
-    wide = [c for i, c in enumerate(numeric) if sizes[str(i)] > max_values]
+def _wide(df: DataFrame, numeric: list[str], max_values: int) -> list[str]:
+    """Features whose values should not all be collected; an estimate will do, as results do not depend on it."""
+    sizes = df.agg(*[F.approx_count_distinct(number(c)).alias(str(i)) for i, c in enumerate(numeric)]).first() if numeric else {}
+    return [c for i, c in enumerate(numeric) if sizes[str(i)] > max_values]
+
+
+def _quantile_edges(df: DataFrame, wide: list[str], max_values: int) -> dict[str, np.ndarray]:
     if not wide:
         return {}
     shares = [(i + 1) / max_values for i in range(max_values - 1)]
@@ -141,6 +151,19 @@ def _quantile_edges(df: DataFrame, numeric: list[str], max_values: int) -> dict[
     return {c: np.unique(np.array(found[str(i)])) for i, c in enumerate(wide)}
 
 
+def _wide_stats(base: DataFrame, columns: dict[str, str]) -> dict[str, FeatureStats]:
+    """Statistics of features (name -> column) whose values stay in one written table."""
+    names = list(columns)
+    long = base.select("_y", *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns.values())]).unpivot(["_y"], [f"v{i}" for i in range(len(names))], "f", "v")
+    groups = long.groupBy(F.substring("f", 2, 10).cast("int").alias("f"), "v").agg(F.count("*").alias("n"), F.sum("_y").alias("s"))
+    sums = long.groupBy("f").agg(F.count("v").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("_y"))).alias("s"), F.count_if(F.col("v").isNull()).alias("n0"), F.sum(F.when(F.col("v").isNull(), F.col("_y"))).alias("s0")).collect()
+    table, sizes = splits.cumulated(groups.where("v is not null"))
+    return {
+        names[i]: FeatureStats("numeric", np.zeros(0), np.array([r.n]), np.array([r.s]), r.n0, float(r.s0 or 0.0), None, splits.WideValues(table, i, sizes[i]))
+        for r in sums for i in [int(r.f[1:])]
+    }
+
+
 def collect(
     df: DataFrame, target: str, numeric: list[str], categorical: list[str], keys: list[str] | None = None,
     max_values: int = MAX_VALUES, max_categories: int = MAX_CATEGORIES,
@@ -148,7 +171,8 @@ def collect(
     """Stats by values of `keys` (one entry, (), without keys); rows without a target are left out."""
     keys = keys or []
     df = df.where(F.col(f"`{target}`").isNotNull())
-    edges = _quantile_edges(df, numeric, max_values)
+    wide = _wide(df, numeric, max_values)
+    edges = _quantile_edges(df, wide, max_values) if keys else {}
     names = [f"_k{i}" for i in range(len(keys))]
     base = df.select(
         *[F.col(f"`{k}`").cast("string").alias(n) for k, n in zip(keys, names)], target_column(df, target).alias("_y"),
@@ -159,10 +183,14 @@ def collect(
             cut = Bucketizer(splits=[-np.inf, *edges[c].tolist(), np.inf], inputCol=f"_n{i}", outputCol="_cell", handleInvalid="keep")
             base = cut.transform(base).withColumn(f"_n{i}", F.when(F.col(f"_n{i}").isNotNull(), F.col("_cell"))).drop("_cell")
     out: dict[tuple, Stats] = {}
+    if wide and not keys:
+        apart = _wide_stats(base, {c: f"_n{numeric.index(c)}" for c in wide})
+        first = apart[wide[0]]
+        out[()] = Stats(int(first.count.sum()) + first.null_count, float(first.total.sum()) + first.null_total, apart)
     for kind, prefix, columns in (("numeric", "_n", numeric), ("categorical", "_c", categorical)):
-        if not columns:
+        if not [c for c in columns if keys or c not in wide]:
             continue
-        long = base.unpivot([*names, "_y"], [f"{prefix}{i}" for i in range(len(columns))], "_f", "_v")
+        long = base.unpivot([*names, "_y"], [f"{prefix}{i}" for i, c in enumerate(columns) if keys or c not in wide], "_f", "_v")
         groups = long.groupBy(*names, "_f", "_v").agg(F.count("*").alias("n"), F.sum("_y").alias("s"))
         if kind == "categorical":
             widest = groups.groupBy("_f").count().agg(F.max("count")).first()[0] or 0
@@ -189,6 +217,5 @@ def candidates(f: FeatureStats, alpha: float) -> tuple[np.ndarray, np.ndarray, n
     n = len(f.values)
     if n < 2:
         return np.zeros(0), count, total
-    wanted = int((n ** (1 - alpha) - 1) / (1 - alpha)) + 1
-    step = max(1, n // wanted)
+    step = splits.candidate_step(n, alpha)
     return ((f.values[:-1] + f.values[1:]) / 2)[::step], count[::step], total[::step]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 
+from lumenstep.operators import splits
 from lumenstep.operators.params import StepParams
 from lumenstep.operators.stats import FeatureStats, candidates
 
@@ -33,43 +35,48 @@ def _raw(mean: float, freq: float, base: float, params: StepParams, regression:
     return math.copysign(abs(d) ** params.tail_sensitivity, d) if regression else params.activation(freq * 100) * d
 
 
-def _numeric(f: FeatureStats, n: int, base: float, p: StepParams, alpha: float) -> list[tuple[float, float, float, float]]:
+def _numeric(f: FeatureStats, n: int, base: float, p: StepParams, alpha: float) -> list[splits.Leaf]:
     """(lower, upper, count, sum) of the leaves, ascending.
 
     Gains use the feature's base and row count at every depth; the smallest split wins a tie.
     """
     split, count, total = candidates(f, alpha)
     least = max(1, int(p.min_leaf_size * n))
-    leaves: list[tuple[float, float, float, float]] = []
+    leaves: list[splits.Leaf] = []
 
     def visit(lo: int, hi: int, lower: float, upper: float, c0: float, s0: float, c1: float, s1: float, depth: int) -> None:
         if depth < p.max_depth and lo < hi:
-            lc, rc = count[lo:hi] - c0, c1 - count[lo:hi]
-            ok = (lc >= least) & (rc >= least)
-            if ok.any():
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ld, rd = abs((total[lo:hi] - s0) / lc - base), abs((s1 - total[lo:hi]) / rc - base)
-                    gain = ld * np.log2(lc / n * 100) + rd * np.log2(rc / n * 100)
-                ok &= np.maximum(ld, rd) >= p.min_info_gain
-                gain = np.round(np.where(ok, gain, 0.0), 12)
-                at = int(np.argmax(gain))
-                if gain[at] > 0:
-                    i = lo + at
-                    cut, c, s = float(split[i]), float(count[i]), float(total[i])
-                    visit(lo, i, lower, cut, c0, s0, c, s, depth + 1)
-                    visit(i + 1, hi, cut, upper, c, s, c1, s1, depth + 1)
-                    return
+            gain = splits.gains(count[lo:hi], total[lo:hi], (c0, s0), (c1, s1), n, base, least, p.min_info_gain)
+            at = int(np.argmax(gain))
+            if gain[at] > 0:
+                i = lo + at
+                cut, c, s = float(split[i]), float(count[i]), float(total[i])
+                visit(lo, i, lower, cut, c0, s0, c, s, depth + 1)
+                visit(i + 1, hi, cut, upper, c, s, c1, s1, depth + 1)
+                return
         leaves.append((lower, upper, c1 - c0, s1 - s0))
 
     visit(0, len(split), -math.inf, math.inf, 0, 0.0, float(f.count.sum()), float(f.total.sum()), 0)
     return leaves
 
 
-def nodes(name: str, f: FeatureStats, n: int, base: float, params: StepParams, alpha: float = 0.1, regression: bool = False) -> list[Node]:
-    """Leaves or categories (by mean, then name), the null node last; scores are still 0."""
+def wide_leaves(stats: dict[str, FeatureStats], n: int, base: float, params: Callable[[str], StepParams], alpha: float) -> dict[str, list[splits.Leaf]]:
+    """Leaves of the features whose values stay distributed, all grown together."""
+    wide = {k: f for k, f in stats.items() if f.kind == "numeric" and f.wide is not None}
+    if gone := [k for k, f in wide.items() if isinstance(f.wide, str)]:
+        raise ValueError(f"values of {gone} are not saved with a model; fit again")
+    return splits.grow({k: (f.wide, params(k).resolved(base), float(f.count.sum()), float(f.total.sum())) for k, f in wide.items()}, n, base, alpha)
+
+
+def nodes(name: str, f: FeatureStats, n: int, base: float, params: StepParams, alpha: float = 0.1, regression: bool = False, grown: list[splits.Leaf] | None = None) -> list[Node]:
+    """Leaves or categories (by mean, then name), the null node last; scores are still 0.
+
+    grown: the leaves of a feature whose values stay distributed (else they are grown here).
+    """
     p, out = params.resolved(base), []
     if f.kind == "numeric":
-        for lower, upper, c, s in _numeric(f, n, base, p, alpha):
+        leaves = _numeric(f, n, base, p, alpha) if f.wide is None else grown or wide_leaves({name: f}, n, base, lambda _: params, alpha)[name]
+        for lower, upper, c, s in leaves:
             mean, freq = (s / c if c else base), c / n
             out.append(Node(name, f.kind, len(out), lower, upper, None, False, 0.0, mean, freq, _raw(mean, freq, base, p, regression) if c else 0.0))
     else:

@@ -185,6 +185,35 @@ sc as (select split, l_mean, r_mean, abs(l_mean - bv) * log2(lc / n * 100) + abs
 """
 
 
+#: A tree of depth 2 on a column of many values: the root split, then the best split of each side.
+_DEPTH_TWO = (
+    _SPLITS.replace("l_quantity", "l_extendedprice").partition("sc as (")[0]
+    + """least as (select greatest(1, floor(0.0001 * n)) as least, n, bv, sy from g),
+root as (select split, lc, l_mean * lc as ls from (select c.*, abs(l_mean - c.bv) * log2(lc / c.n * 100) + abs(r_mean - c.bv) * log2(rc / c.n * 100) as gain from c cross join least
+  where lc >= least and rc >= least and greatest(abs(l_mean - c.bv), abs(r_mean - c.bv)) >= 0.0001) where gain > 0 order by round(gain, 12) desc, split limit 1),
+node as (select 0 as side, -1e300 as lower, split as upper, 0::double as c0, 0::double as s0, lc::double as c1, ls as s1 from root
+  union all select 1, split, 1e300, lc, ls, (select n from g), (select sy from g) from root),
+young as (select side, split, lc, ls, lower, upper, c0, s0, c1, s1, abs((ls - s0) / (lc - c0) - bv) as ld, abs((s1 - ls) / (c1 - lc) - bv) as rd, lc - c0 as ln, c1 - lc as rn, n
+  from (select split, lc, s as ls from (select split, lc, l_mean * lc as s from c)) join node on split > lower and split < upper cross join least where lc - c0 >= least and c1 - lc >= least),
+best as (select * from (select *, row_number() over (partition by side order by round(ld * log2(ln / n * 100) + rd * log2(rn / n * 100), 12) desc, split) as k,
+  ld * log2(ln / n * 100) + rd * log2(rn / n * 100) as gain from young where greatest(ld, rd) >= 0.0001) where k = 1 and gain > 0),
+leaf as (select lower, split as upper, ln as n, (ls - s0) / ln as m from best union all select split, upper, rn, (s1 - ls) / rn from best
+  union all select lower, upper, c1 - c0, (s1 - s0) / (c1 - c0) from node where side not in (select side from best))
+select round(nullif(lower, -1e300), 4) as lower, round(nullif(upper, 1e300), 4) as upper, n::bigint as n, round(m, 6) as mean from leaf
+"""
+)
+
+
+@query(_DEPTH_TWO)
+def tree_of_many_values(t):
+    """Leaves of a feature whose values stay distributed."""
+    d = t.lineitem.select("l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    model = StepClassifier(StepParams(max_depth=2), calibrate=False).fit(d, "y", ["l_extendedprice"])
+    rows = [(x.lower, x.upper, round(x.freq * model.stats.n), x.mean) for x in model.profile["l_extendedprice"] if not x.is_null]
+    finite = [(None if np.isinf(lo) else lo, None if np.isinf(up) else up, n, m) for lo, up, n, m in rows]
+    return t.spark.createDataFrame(finite, "lower double, upper double, n long, mean double").select(r("lower", 4).alias("lower"), r("upper", 4).alias("upper"), "n", r("mean").alias("mean"))
+
+
 @query(_SPLITS + "select split, lc::bigint as l_cnt, round(l_mean, 6) as l_mean, rc::bigint as r_cnt, round(r_mean, 6) as r_mean from c")
 def split_stats(t):
     from lumenstep.operators import stats

@@ -95,8 +95,8 @@ def test_unseen_missing_and_types(spark, frame):
         StepClassifier().fit(frame.withColumn("d", F.current_timestamp()), "y", ["d"])
 
 
-def test_wide_feature_uses_bounded_cells(frame):
-    s = stats.collect(frame, "y", ["z"], [], max_values=16)[()].features["z"]
+def test_wide_feature_uses_bounded_cells_with_keys(frame):
+    s = stats.Stats.merged(list(stats.collect(frame, "y", ["z"], [], ["f"], max_values=16).values())).features["z"]
     assert len(s.values) <= 16 and s.count.sum() == 400
     split, count, _ = stats.candidates(s, 0.1)
     z = frame.toPandas().z

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenstep.operators import calibration, scoring, stats, tree
+from lumenstep.operators import calibration, gram, scoring, stats, tree
 from lumenstep.operators.params import StepParams
 from lumenstep.operators.stats import Stats
 from lumenstep.operators.tree import Node
@@ -207,31 +207,16 @@ class StepRegressor(StepModel):
 
     def _finish(self, df: DataFrame | None) -> None:
         if df is not None and self.profile:
-            self._solve(df)
+            self.solve(gram.leaf_sums(df, self.target, {None: self.profile})[None])
 
-    def _solve(self, df: DataFrame) -> None:
+    def solve(self, sums: gram.LeafSums) -> None:
         """Normal equations from counts of leaf pairs; the driver sees leaves, never rows."""
         flat = [n for v in self.profile.values() for n in v]
-        start, at = {}, 0
-        for k, v in self.profile.items():
-            start[k] = at
-            at += len(v)
-        known = df.where(F.col(f"`{self.target}`").isNotNull())
-        rows = known.select(F.col(f"`{self.target}`").cast("double").alias("_y"), F.array(*[(scoring.lookup(known, k, v, lambda n: n.node_id) + start[k]).cast("int") for k, v in self.profile.items()]).alias("_l"))
-        # rows that fall into the same leaves of all features count as one from here on
-        alike = rows.groupBy("_l").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).persist()
-        sums = alike.select("s", "n", F.explode("_l").alias("i")).groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-        pairs = alike.select("n", F.explode("_l").alias("i"), "_l").select("n", "i", F.explode("_l").alias("j")).where("i <= j").groupBy("i", "j").agg(F.sum("n").alias("count")).collect()
-        alike.unpersist()
+        at, count, total, both = len(flat), sums.count, sums.total, sums.both
         n, raw = self.stats.n, np.array([x.raw for x in flat])
-        count, total, both = np.zeros(at), np.zeros(at), np.zeros((at, at))
-        for r in sums:
-            count[r.i], total[r.i] = r.n, r.s
-        for r in pairs:
-            both[r.i, r.j] = both[r.j, r.i] = r["count"]
         mean_y, mean_x = self.stats.base, raw * count / n
-        gram = both * np.outer(raw, raw) - n * np.outer(mean_x, mean_x) + self.ridge * np.eye(at)
-        weights = np.linalg.solve(gram, raw * total - n * mean_x * mean_y)
+        normal = both * np.outer(raw, raw) - n * np.outer(mean_x, mean_x) + self.ridge * np.eye(at)
+        weights = np.linalg.solve(normal, raw * total - n * mean_x * mean_y)
         self.base = float(mean_y - mean_x @ weights)
         scores = iter(raw * weights)
         self.profile = {k: [replace(x, score=float(next(scores))) for x in v] for k, v in self.profile.items()}
@@ -296,8 +281,10 @@ class PartitionedModel:
             s.features = {c: s.features[c] for c in order if c in s.features}
             model.rebuild()
             self.add(value, model)
-            if model.regression:
-                model._finish(df if value == self.ALL else df.where(F.col(column).cast("string") == value))
+        if self.regression:
+            profiles = {None if value == self.ALL else value: m.profile for value, m in self.models.items() if m.profile}
+            for value, sums in gram.leaf_sums(df, target, profiles, column).items():
+                self.models[self.ALL if value is None else value].solve(sums)
         if self.kind is StepClassifier:
             scored = df.select(F.col(f"`{target}`").cast("double").alias("_y"), self._score(df).alias("_s"), self._route(df).alias("_p")).where("_y is not null")
             rows = scored.select("_p", "_y", calibration.bin_of(F.col("_s")).alias("bin")).where("bin is not null").groupBy("_p", "bin").agg(F.count("*").alias("n"), F.avg("_y").alias("mean")).collect()

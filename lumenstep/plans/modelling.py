@@ -377,6 +377,24 @@ def ridge_regressor(t):
     return StepRegressor(LEAVES).fit(priced(t), "o_totalprice", id_columns=("o_orderkey",)).predict(priced(t)).select("o_orderkey", "prediction")
 
 
+@query(
+    """with b as (select c_mktsegment as p, o_orderpriority as v, o_totalprice as y, o_orderkey from orders join customer on o_custkey = c_custkey),
+g as (select p, count(*)::double as n, avg(y) as my from b group by p),
+u as (select p, v, count(*)::double as c, sum(y) as s from b group by p, v),
+x as (select p, v, c, s, n, my, s / c - my as raw from u join g using (p)),
+k as (select *, raw * raw * c + 1 as d, raw * c / n as m, raw * s - raw * c * my as rhs from x),
+z as (select p, any_value(n) as n, sum(m * rhs / d) as mb, sum(m * m / d) as mm from k group by p),
+w as (select k.p, v, my, raw, m, rhs / d + k.n * m / d * mb / (1 - k.n * mm) as w from k join z on z.p = k.p),
+base as (select p, min(my) - sum(m * w) as b0 from w group by p)
+select o_orderkey, round(b0 + raw * w, 4) as prediction from b join w on w.p = b.p and w.v = b.v join base on base.p = b.p"""
+)
+def ridge_per_partition(t):
+    """Regressors of all partitions from one scan; the SQL inverts each one's normal equations in closed form."""
+    d = priced(t).select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_totalprice")
+    model = PartitionedModel(StepRegressor, StepParams()).fit(d, "o_totalprice", "c_mktsegment", ["o_orderpriority"])
+    return model.predict(d).select("o_orderkey", r("prediction", 4).alias("prediction"))
+
+
 @query()
 def partition_scores(t):
     d = rated(t)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pyspark.sql.types import StructType
 #: Bytes of an Arrow batch of texts, unless the session says otherwise; ten thousand long texts would be hundreds of MB.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
+#: Checkpoints between two collections of the driver's garbage.
+TIDY_EVERY = 5
+_calls = count(1)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is configured and one machine does all (tests)."""
@@ -27,9 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation."""
+    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation.
+
+    Spark drops shuffles, broadcasts and checkpoints of past steps only when the driver's
+    collectors find them unused; every TIDY_EVERY-th call starts these, for a chain of many
+    small steps would else pile them up.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_calls) % TIDY_EVERY == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def over_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:

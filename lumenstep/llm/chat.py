@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns.  A window holds
-the system turn, limited history (the last turns before the span, at most HISTORY
-tokens), then the span's new turns.  Only new assistant texts are under the loss mask, so
-a target repeated as history is masked.  Turns are never cut: a turn longer than the
-budget has a window of its own span.
+Prefix sums of turn tokens lay a conversation's turns along a line of cells.  Turns that lie
+within a cell make a window together; a turn that runs over the end of its cell has a window
+of its own.  A window holds the system turn, limited history (the last turns before the
+window, at most `history` tokens), then its new turns.  A cell is as wide as the budget less
+history and system turn, so a window passes the budget only where one turn alone, or the
+system turn, leaves no room: turns are never cut.  Only new assistant texts are under the
+loss mask, so a target repeated as history is masked.
 
 Template: one line per turn, "<role>text</role-end>" with the fixed marks below.  Inside
 texts and roles "\\\\" and "<" are escaped, so no text can imitate a mark and every text
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lumenstep.llm._common import running_sum, settled
 
-#: New tokens in a window, and repeated ones.
-SPAN, HISTORY = 384, 128
+#: Tokens of a window, of the repeated turns among them, and the least width of a cell.
+BUDGET, HISTORY, LEAST = 512, 128, 64
 TURN_COST = 4
 TURNS_PER_BUCKET = 256
 OPEN, MID, CLOSE = "<turn ", "<says>", "<end>\n"
@@ -47,24 +49,35 @@ def _costed(conversations: DataFrame) -> DataFrame:
     )
 
 
-def windows(conversations: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, formatted, n_context, loss (array<struct<start, end>>) of rows (conv_id, turn, role, text).
 
     Turns come by turn, then role and text; a null turn comes first, null role and text
-    count as empty, repeated rows each count.  n_context turns at the head of a window are
-    repeats; loss gives code points, end exclusive.
+    count as empty, repeated rows each count; other columns are not looked at.  n_context
+    turns at the head of a window are repeats; loss gives code points, end exclusive.
     """
     turns = settled(_costed(conversations))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("body")]
     turns = settled(running_sum(turns, ["conv_id"], "bucket", order, F.col("tokens"), "before"))
-    own = F.floor(F.col("before") / span)
-    last = F.when(F.col("tokens") <= history, F.floor((F.col("before") + history) / span)).otherwise(own)
-    copies = turns.withColumn("own", own).withColumn("window", F.explode(F.sequence(own, last))).withColumn("new", F.col("window") == F.col("own"))
+    # the system turn: the first turn of a conversation, if its role says so
+    system = turns.where("before = 0 and role = 'system'").groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.min(F.struct("tokens", "before", "turn", F.lit(False).alias("new"), "role", "head", "body")).alias("system")
+    )
+    cost = system.select("_conv", F.col("system.tokens").alias("cost"))
+    turns = turns.join(cost, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    turns = turns.withColumn("width", F.greatest(F.lit(budget - history) - F.coalesce("cost", F.lit(0)), F.lit(LEAST)))
+    cell = F.floor(F.col("before") / F.col("width"))
+    # windows 2k: turns within cell k; 2k + 1: the turn that leaves it
+    own = cell * 2 + (F.col("before") + F.col("tokens") > (cell + 1) * F.col("width")).cast("int")
+    # later windows that may repeat the turn; those that start too far on drop it again below
+    last = F.when(F.col("tokens") <= history, F.floor((F.col("before") + history) / F.col("width")) * 2 + 1).otherwise(own)
+    copies = turns.withColumn("own", own).withColumn("window", F.explode(F.sequence(own, F.greatest(own, last)))).withColumn("new", F.col("window") == F.col("own"))
     line = F.struct("before", "turn", "new", "role", "head", "body")
     packed = copies.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.bool_or("new").alias("live")).where("live")
-    # the system turn: the first turn of a conversation, if its role says so
-    system = turns.where("before = 0 and role = 'system'").groupBy("conv_id").agg(F.min(F.struct(F.col("before"), F.col("turn"), F.lit(False).alias("new"), "role", "head", "body")).alias("system"))
-    system = system.withColumnRenamed("conv_id", "_conv")
+    near = lambda lines, start: F.filter(lines, lambda x: x["new"] | (x["before"] >= start - history))
+    begin = F.array_min(F.transform(F.filter("lines", lambda x: x["new"]), lambda x: x["before"]))
+    packed = packed.withColumn("begin", begin).withColumn("lines", near(F.col("lines"), F.col("begin"))).drop("begin")
+    system = system.select("_conv", F.struct(*[F.col(f"system.{c}").alias(c) for c in ("before", "turn", "new", "role", "head", "body")]).alias("system"))
     packed = packed.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     absent = F.col("system").isNotNull() & (F.col("lines")[0]["before"] > 0)
     packed = packed.withColumn("lines", F.when(absent, F.concat(F.array("system"), "lines")).otherwise(F.col("lines")))

@@ -161,7 +161,9 @@ def estimated(counts: Counts, held: Counts = (), turns: int = TURNS, min_precisi
     """Trees over (kind, features, base spans, loose candidates), the unlabelled among the latter shared out by expectation.
 
     They begin half and half; each turn fits trees and shares them out by their margins.
-    Thresholds come from the held-out counts, for a kind that has no positives there from all.
+    Thresholds come from the held-out counts, for a kind that has no positives there from all;
+    only loose candidates count there, as base spans stay in any case and must not buy room
+    for wrong ones.
     """
     said = [_verdict(kind, f) for kind, f, _, _ in counts]
     share = [0.5 if v < 0 else float(v) for v in said]
@@ -174,10 +176,10 @@ def estimated(counts: Counts, held: Counts = (), turns: int = TURNS, min_precisi
             share = [chance(f) if v < 0 else s for (_, f, _, _), v, s in zip(counts, said, share)]
     for rows in ([*counts, *held], held):
         patterns = []
-        for kind, f, base, loose in rows:
+        for kind, f, _, loose in rows:
             v = _verdict(kind, f)
             s = chance(f) if v < 0 else v
-            patterns.append((kind, f, base + loose * s, loose * (1 - s)))
+            patterns.append((kind, f, loose * s, loose * (1 - s)))
         calibrate(model, patterns, min_precision)
     return model
 

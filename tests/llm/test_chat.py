@@ -36,11 +36,33 @@ def test_round_trip(spark):
     for w in wins:
         turns = chat.parse(w.formatted)
         cost = [len(x.split()) + chat.TURN_COST for _, x in turns]
-        new = cost[w.n_context :]
-        assert new and sum(new[:-1]) <= chat.SPAN
-        history = [c for (r, _), c in zip(turns[: w.n_context], cost) if r != "system"]
-        assert sum(history) <= chat.HISTORY + max(history, default=0)
+        head = cost[0] if turns[0][0] == "system" and w.n_context else 0
+        assert len(cost) > w.n_context and sum(cost[: w.n_context]) - head <= chat.HISTORY
+        if len(cost) - w.n_context > 1 and head <= chat.BUDGET - chat.HISTORY - chat.LEAST:
+            assert sum(cost) <= chat.BUDGET
     systems = {c for c, t, r, _ in data if t == 0 and r == "system"}
     assert all(chat.parse(w.formatted)[0][0] == "system" for w in wins if w.conv_id in systems)
     assert any(w.n_context > 0 for w in wins)
     assert chat.digest(frame.limit(0)).count() == 0
+
+
+def test_budget_of_a_real_table(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    for budget, history in ((512, 128), (200, 40), (128, 0)):
+        several = 0
+        for w in chat.windows(rows, budget, history).collect():
+            cost = [len(x.split()) + chat.TURN_COST for _, x in chat.parse(w.formatted)]
+            if len(cost) - w.n_context > 1:
+                several += 1
+                assert sum(cost) <= budget
+        assert several
+
+
+def test_long_system_turn_odd_names_and_repeats(spark):
+    data = [(1, 0, "system", "word " * 700), *[(1, t, "user", f"hello {t}") for t in range(1, 40)], (None, 0, "user", "a"), (None, 0, "user", "a")]
+    frame = spark.createDataFrame([(*r, 5, "x", 7) for r in data], "conv_id long, turn long, role string, text string, cost int, window string, system int")
+    wins = chat.windows(frame).collect()
+    assert all(chat.parse(w.formatted)[0][0] == "system" for w in wins if w.conv_id == 1)
+    new = [t for w in sorted((w for w in wins if w.conv_id == 1), key=lambda w: w.window) for t in chat.parse(w.formatted)[w.n_context :]]
+    assert [x for _, x in new[1:]] == [f"hello {t}" for t in range(1, 40)]
+    assert {r.conv_id: r.n_turns for r in chat.digest(frame).collect()} == {1: 40, None: 2}

@@ -17,3 +17,19 @@ def test_a_kind_without_base_spans(spark):
     rows = [(i, f"pay by card {cards[i % 3]} now") for i in range(30)] + [(100 + i, f"total 4111.1111.1111.11{i} now") for i in range(10, 100)]
     got = {r.doc_id: r.n_added for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (i < 100) for i in got)
+
+
+def features(**on):
+    f = [False] * (pii.CHECKED + 1)
+    for i in on.get("at", ()):
+        f[i] = True
+    return tuple(f)
+
+
+def test_base_spans_buy_no_room_for_wrong_candidates():
+    base, wrong = features(at=(pii.NAMED, 4, pii.CHECKED)), features(at=(1, 3))
+    for k in (20, 50, 80, 400):
+        model = pii.estimated([(3, base, 800, 0), (3, wrong, 0, k - k // 5)], [(3, base, 200, 0), (3, wrong, 0, k // 5)])
+        assert 3 not in model.thresholds or model.margin(wrong) < model.thresholds[3]
+        both = pii.estimated([(3, base, 800, 160), (3, wrong, 0, k)], [(3, base, 200, 40), (3, wrong, 0, k)])
+        assert model.margin(base) > model.margin(wrong) and both.margin(base) >= both.thresholds[3] > both.margin(wrong)

@@ -149,18 +149,28 @@ def _encoder(name: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id_column, ids binary) of each row; ranks of one vocabulary, which is broadcast."""
+def _read_back(ids: Iterator[bytes], token: dict[int, bytes]) -> list[bytes]:
+    """The bytes that packed ids stand for."""
+    return [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text", back: bool = False) -> DataFrame:
+    """(id_column, ids binary) of each row; ranks of one vocabulary, which is broadcast.
+
+    back: also `decoded` binary, read back from the ids as decode() does, without another pass.
+    """
     known, name = docs.sparkSession.sparkContext.broadcast(ranks), (uuid.uuid4().hex, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, known.value, pattern)
+        token = {rank: piece for piece, rank in known.value.items()} if back else {}
         for batch in batches:
             ids = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_column, "ids"])
+            columns = [batch.column(0), pa.array(ids, pa.binary()), *([pa.array(_read_back(ids, token), pa.binary())] if back else [])]
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"][: len(columns)])
 
     slim = docs.select(id_column, text_column)
-    return over_texts(slim, run, f"`{id_column}` {slim.schema[0].dataType.simpleString()}, ids binary")
+    return over_texts(slim, run, f"`{id_column}` {slim.schema[0].dataType.simpleString()}, ids binary" + ", decoded binary" * back)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id") -> DataFrame:
@@ -168,10 +178,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id
     known = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: piece for piece, rank in known.value.items()}.__getitem__
+        token = {rank: piece for piece, rank in known.value.items()}
         for batch in batches:
-            ids = (np.frombuffer(x.as_py() or b"", "<u4").tolist() for x in batch.column(1))
-            whole = pa.array([b"".join(map(token, x)) for x in ids], pa.binary())
+            whole = pa.array(_read_back((x.as_py() or b"" for x in batch.column(1)), token), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole], [id_column, "ids", "decoded"])
 
     slim = encoded.select(id_column, "ids")

@@ -58,6 +58,8 @@ def test_frames_round_trip(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = byte_bpe.decode(byte_bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in got) == sorted((i or 0, (t or "").encode()) for i, t, _ in rows)
+    both = byte_bpe.encode(frame, RANKS, public_tokenizers.PATTERN, back=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert byte_bpe.encode(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(Exception, match="KeyError"):
         byte_bpe.decode(spark.createDataFrame([(1, b"\xff\xff\xff\x7f")], "doc_id long, ids binary"), RANKS).collect()

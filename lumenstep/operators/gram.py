@@ -32,8 +32,13 @@ class LeafSums:
     both: np.ndarray
 
 
+def values(df: DataFrame, kinds: dict[str, str]) -> list:
+    """Columns x0, x1, ... with the values of features (name -> kind) as LeafTable.ids takes them."""
+    return [(number(k) if kind == "numeric" else category(df, k)).alias(f"x{i}") for i, (k, kind) in enumerate(kinds.items())]
+
+
 @dataclass
-class _Leaves:
+class LeafTable:
     """Leaf lookup of one feature: upper bounds or categories; the null node comes last."""
 
     start: int
@@ -42,10 +47,10 @@ class _Leaves:
     names: pa.Array | None = field(default=None, repr=False)
 
     @staticmethod
-    def of(start: int, nodes: list[Node]) -> _Leaves:
+    def of(start: int, nodes: list[Node]) -> LeafTable:
         if nodes[0].kind == "numeric":
-            return _Leaves(start, len(nodes), uppers=np.array([n.upper for n in nodes[:-1]], float))
-        return _Leaves(start, len(nodes), names=pa.array([n.category for n in nodes[:-1]], pa.string()))
+            return LeafTable(start, len(nodes), uppers=np.array([n.upper for n in nodes[:-1]], float))
+        return LeafTable(start, len(nodes), names=pa.array([n.category for n in nodes[:-1]], pa.string()))
 
     def ids(self, values: pa.Array) -> np.ndarray:
         """Leaf of each value within the feature; nulls and unseen categories are in the null node."""
@@ -58,19 +63,19 @@ class _Leaves:
 
 def leaf_sums(df: DataFrame, target: str, profiles: dict[str | None, dict[str, list[Node]]], column: str | None = None) -> dict[str | None, LeafSums]:
     """By model: its sums over the rows with a target whose `column` (as text) is its key; the key None takes all rows."""
-    features = list({k: None for p in profiles.values() for k in p})
     kinds = {k: nodes[0].kind for p in profiles.values() for k, nodes in p.items()}
+    features = list(kinds)
     tables, width = {}, {}
     for key, profile in profiles.items():
         tables[key], at = {}, 0
         for k, nodes in profile.items():
-            tables[key][k] = _Leaves.of(at, nodes)
+            tables[key][k] = LeafTable.of(at, nodes)
             at += len(nodes)
         width[key] = at
     keys = list(profiles)
     slim = df.where(F.col(f"`{target}`").isNotNull()).select(
         F.col(f"`{column}`").cast("string").alias("p") if column else F.lit(None).cast("string").alias("p"), F.col(f"`{target}`").cast("double").alias("y"),
-        *[(number(k) if kinds[k] == "numeric" else category(df, k)).alias(f"x{i}") for i, k in enumerate(features)],
+        *values(df, kinds),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

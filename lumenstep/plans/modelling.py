@@ -395,6 +395,29 @@ def ridge_per_partition(t):
     return model.predict(d).select("o_orderkey", r("prediction", 4).alias("prediction"))
 
 
+@query(
+    """with b as (select d.doc_id, d.lang as p, d.source as v, l.quality::double as y from documents d join labels l on d.doc_id = l.doc_id),
+g as (select p, count(*)::double as n, avg(y) as bv from b group by p),
+u as (select p, v, count(*) as c, avg(y) as m from b group by p, v),
+raw as (select u.p, v, (c / n) * (m - bv) as r, bv from u join g on g.p = u.p),
+ext as (select p, least(min(r), 0) as lo, greatest(max(r), 0) as hi from raw group by p),
+s as (select raw.p, v, bv + case when r = 0 then 0.0::double when r < 0 then abs(r) / lo * bv else r / hi * (1 - bv) end as score from raw join ext on ext.p = raw.p)
+select doc_id, round(score, 6) as score from b join s on s.p = b.p and s.v is not distinct from b.v"""
+)
+def scores_per_partition(t):
+    """A classifier for each language, each row scored by its own."""
+    d = rated(t)
+    return PartitionedModel().fit(d, "y", "lang", ["source"]).score(d).select("doc_id", r("score").alias("score"))
+
+
+@query(_PROFILE + ", k as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as k from p) select round((sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) as roc_auc from k")
+def subset_auc(t):
+    """The AUC of a subset of features, rated with others in one scan."""
+    model, d = _docs_model(t)
+    one = {"lang": model.profile["lang"]}
+    return t.spark.createDataFrame([(search.subset_aucs(d, "y", model.base, [one, model.profile])[1],)], "roc_auc double").select(r("roc_auc").alias("roc_auc"))
+
+
 @query()
 def partition_scores(t):
     d = rated(t)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +24,58 @@ def binned(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     return df.withColumns(out)
 
 
-def exclusion_rules(df: DataFrame, columns: list[str], min_support: int = 10) -> DataFrame:
+def _seen_together(df: DataFrame, columns: dict[str, Column], numbers: list[dict[str, int]], size: int) -> DataFrame:
+    """(i, word, bits): for each numbered value, in words of 64 bits, the values that some row holds with it."""
+    names = [pa.array(list(x), pa.string()) for x in numbers]
+    places = [np.array([*x.values(), -1], np.int64) for x in numbers]
+    words = (size + 63) // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((size, words * 64), bool)
+        for b in batches:
+            ids = [at[pc.fill_null(pc.index_in(b.column(k), value_set=names[k]), len(at) - 1).to_numpy(zero_copy_only=False)] for k, at in enumerate(places)]
+            for x in range(len(ids)):
+                for y in range(x):
+                    both = (ids[x] >= 0) & (ids[y] >= 0)
+                    seen[ids[x][both], ids[y][both]] = True
+        packed = np.packbits(seen, axis=1, bitorder="little").view("<i8")
+        i, word = np.nonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(word), pa.array(packed[i, word])], ["i", "word", "bits"])
+
+    return df.select(*columns.values()).mapInArrow(run, "i long, word long, bits long").groupBy("i", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def exclusion_rules(df: DataFrame, columns: list[str], min_support: int = 10, max_values: int = 20_000) -> DataFrame:
     """feature, value, rule_feature, rule_value: pairs with support each that no row holds together.
 
-    Pairs that occur are counted from the rows themselves (columns are few); the pairs that
-    could occur come from the supported values, a small table.
+    Values with support are numbered, feature by feature; over max_values of them are refused.
+    Tasks mark the pairs that rows hold in bit sets (50 MB at most), which are combined by
+    bit_or; the bits of other features that stay unset are the rules.
     """
-    cols = {c: F.col(c).cast("string") for c in columns}
-    seen = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("value")) for c, v in cols.items()])).alias("x")).select("x.*").where("value is not null")
-    held = seen.groupBy("feature", "value").count().where(F.col("count") >= min_support).select("feature", "value")
-    both = [F.struct(F.lit(a).alias("feature"), cols[a].alias("value"), F.lit(b).alias("rule_feature"), cols[b].alias("rule_value")) for a in columns for b in columns if a != b]
-    if not both:
-        return held.select("feature", "value", F.lit("").alias("rule_feature"), F.lit("").alias("rule_value")).limit(0)
-    pairs = df.select(F.explode(F.array(*both)).alias("x")).select("x.*").distinct()
-    other = held.select(F.col("feature").alias("rule_feature"), F.col("value").alias("rule_value"))
-    return held.join(other, F.col("feature") != F.col("rule_feature")).join(pairs, ["feature", "value", "rule_feature", "rule_value"], "left_anti")
+    cols = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    seen = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("value")) for c, v in cols.items()])).alias("x")).select("x.*").where("value is not null") if cols else df.select(F.lit("").alias("feature"), F.lit("").alias("value")).limit(0)
+    held = seen.groupBy("feature", "value").count().where(F.col("count") >= min_support).select("feature", "value").limit(max_values + 1).collect()
+    if len(held) > max_values:
+        raise ValueError(f"over {max_values} values with support; raise min_support")
+    held = sorted(((columns.index(r.feature), r.value) for r in held))
+    table = df.sparkSession.createDataFrame([(i, columns[k], v) for i, (k, v) in enumerate(held)], "n long, feature string, value string")
+    numbers: list[dict[str, int]] = [{} for _ in columns]
+    for i, (k, v) in enumerate(held):
+        numbers[k][v] = i
+    size, words = len(held), (len(held) + 63) // 64
+    # pairs are marked below the diagonal: values of a feature against those of features before it
+    first = {c: min(x.values(), default=0) for c, x in zip(columns, numbers)}
+    start = F.coalesce(*[F.when(F.col("feature") == c, n) for c, n in first.items()], F.lit(0)) if first else F.lit(0)
+    cells = table.select(F.col("n").alias("i"), start.cast("long").alias("first")).withColumn("word", F.explode(F.expr(f"sequence(0L, {max(0, words - 1)}L)")))
+    cells = cells.where(F.col("word") * 64 < F.col("first")).join(_seen_together(df, cols, numbers, size), ["i", "word"], "left") if size else cells.withColumn("bits", F.lit(0))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    free = cells.select("i", "first", "word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"), bit.alias("bit"))
+    free = free.where((F.col("word") * 64 + F.col("bit") < F.col("first")) & (F.expr("shiftrightunsigned(bits, bit) & 1L") == 0)).select("i", (F.col("word") * 64 + F.col("bit")).alias("j"))
+    both = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
+    pairs = free.select(both.alias("x")).select("x.*")
+    # at most max_values rows
+    one, other = F.broadcast(table), F.broadcast(table.select("n", F.col("feature").alias("rule_feature"), F.col("value").alias("rule_value")))
+    return pairs.join(one, F.col("a") == F.col("n")).drop("n").join(other, F.col("b") == F.col("n")).select("feature", "value", "rule_feature", "rule_value")
 
 
 def frame_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumenstep.functions import text as X
 from lumenstep.operators import metrics, quality, ranks, rules, search, stats
 from lumenstep.operators.models import StepClassifier
+from lumenstep.operators.written import shared_dir
 from lumenstep.plans._registry import query
 from lumenstep.plans.modelling import _CONFUSION, _LEVERS, _PROFILE, _SPLITS, _docs_model, _levers, _scored, priced, r, returned
 from lumenstep.sources import tables
+from lumenstep.streaming.scoring import LiveStats
 
 # --- encodings and nodes ---
 
@@ -162,6 +166,19 @@ def scan_missing(t):
     return quality.scan(o).select("column", r("missing_pct").alias("missing_pct"))
 
 
+_LIVE = "select month(o_orderdate)::double as m, o_orderpriority as p, (o_totalprice > 150000)::int::double as y from orders"
+
+
+@query(f"select 'm' as feature, m as number, null::varchar as text, count(*) as n, sum(y) as s from ({_LIVE}) group by m union all select 'p', null, p, count(*), sum(y) from ({_LIVE}) group by p")
+def live_counts(t):
+    """Statistics that three micro-batches, one of them run twice, have written."""
+    rows = t.orders.select(F.month("o_orderdate").alias("m"), F.col("o_orderpriority").alias("p"), (F.col("o_totalprice") > 150000).cast("int").alias("y"), "o_orderkey")
+    live = LiveStats(f"{shared_dir(t.spark)}/live-{uuid.uuid4().hex}", "y", ["m"], ["p"])
+    for batch in (0, 1, 1, 2):
+        live.absorb(rows.where(F.pmod("o_orderkey", F.lit(3)) == batch).drop("o_orderkey"), batch)
+    return live.counts(t.spark)
+
+
 _SHARES = [0.0, 0.001, 0.1, 0.5, 0.9, 0.999, 1.0]
 
 

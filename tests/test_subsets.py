@@ -37,3 +37,12 @@ def test_jobs_do_not_grow_with_subsets(spark, rows):
     with pytest.raises(ValueError):
         out.best(4)
     assert np.isfinite([s for _, s in out]).all()
+
+
+def test_folds_and_samples_with_odd_names(spark):
+    rows = spark.createDataFrame([(i, i % 3, 7, 8, 9, 5, 1) for i in range(90)], "id int, y int, _range int, _class int, _rank int, fold int, _hash int")
+    out = search.with_folds(rows, "y", "id", 5)
+    assert out.columns == ["id", "y", "_range", "_class", "_rank", "_hash", "fold"]
+    assert all(r["count"] == 6 for r in out.groupBy("y", "fold").count().collect()) and out.where("_range = 7 and _class = 8 and _rank = 9 and _hash = 1").count() == 90
+    some = search.sample_rows(rows, "id", n=10, seed=1)
+    assert some.columns == rows.columns and some.count() == 10

@@ -3,7 +3,7 @@
 Refits, folds and partitions only ever read these.  What reaches the driver is bounded: the
 values of a numeric feature with more than about `max_values` of them stay in a written table
 in which exact splits are searched (see splits); with keys (folds, partitions) they are grouped
-between approximate quantiles (`max_values` of them).  A text feature with more than
+between approximate quantiles (`KEYED_VALUES` of them at most).  A text feature with more than
 `max_categories` values is refused and should be condensed first (see prep).
 """
 
@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from lumenstep.operators import splits
 
-MAX_VALUES, MAX_CATEGORIES = 10_000, 100_000
+MAX_VALUES, MAX_CATEGORIES = 20_000, 100_000
+#: Values of a numeric feature for each key.
+KEYED_VALUES = 10_000
 #: In place of the values of a wide feature in statistics that were saved.
 ABSENT = "absent"
 
@@ -171,8 +173,9 @@ def collect(
     """Stats by values of `keys` (one entry, (), without keys); rows without a target are left out."""
     keys = keys or []
     df = df.where(F.col(f"`{target}`").isNotNull())
-    wide = _wide(df, numeric, max_values)
-    edges = _quantile_edges(df, wide, max_values) if keys else {}
+    most = min(max_values, KEYED_VALUES) if keys else max_values
+    wide = _wide(df, numeric, most)
+    edges = _quantile_edges(df, wide, most) if keys else {}
     names = [f"_k{i}" for i in range(len(keys))]
     base = df.select(
         *[F.col(f"`{k}`").cast("string").alias(n) for k, n in zip(keys, names)], target_column(df, target).alias("_y"),

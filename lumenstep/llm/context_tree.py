@@ -132,7 +132,7 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-#: Partial counts by byte: bytes of one place are much alike among the keys of a bucket, so a shuffle of these is a third as long.
+#: Partial counts by byte: bytes of one place are much alike among the keys of a bucket, so a shuffle of these is half as long.
 _KEY, _N = [f"key{i}" for i in range(8)], [f"n{i}" for i in range(5)]
 _PARTS = ", ".join(["bucket int", *(f"{c} binary" for c in _KEY + _N)])
 _COUNTS = "bucket int, keys array<long>, n array<long>"

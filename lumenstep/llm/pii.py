@@ -163,7 +163,7 @@ def estimated(counts: Counts, held: Counts = (), turns: int = TURNS, min_precisi
     They begin half and half; each turn fits trees and shares them out by their margins.
     Thresholds come from the held-out counts, for a kind that has no positives there from all;
     only loose candidates count there, as base spans stay in any case and must not buy room
-    for wrong ones.
+    for wrong ones.  Where no cut is precise enough, base_floors sets it.
     """
     said = [_verdict(kind, f) for kind, f, _, _ in counts]
     share = [0.5 if v < 0 else float(v) for v in said]
@@ -181,9 +181,23 @@ def estimated(counts: Counts, held: Counts = (), turns: int = TURNS, min_precisi
             s = chance(f) if v < 0 else v
             patterns.append((kind, f, loose * s, loose * (1 - s)))
         calibrate(model, patterns, min_precision)
+    if min_precision <= 1:
+        base_floors(model, [*counts, *held])
     return model
 
 
+def base_floors(model: Boosted, rows: Counts) -> None:
+    """Thresholds of kinds left without: the least margin of base spans above all loose candidates.
+
+    It adds none of the candidates seen here; other texts may hold what looks like a base span.
+    """
+    for kind in {r[0] for r in rows if r[2]} - model.thresholds.keys():
+        top = max((model.margin(f) for k, f, _, loose in rows if k == kind and loose), default=-math.inf)
+        above = [m for k, f, base, _ in rows if k == kind and base and (m := model.margin(f)) - 1e-9 > top]
+        if above and model.trees:
+            model.thresholds[kind] = min(above) - 1e-9
+
+
 def calibrate(model: Boosted, patterns: list[tuple[int, tuple, float, float]], min_precision: float) -> None:
     """Set the threshold of each kind that has positives here: the least margin from which precision holds, or none."""
     by_kind = defaultdict(list)

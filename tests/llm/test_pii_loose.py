@@ -33,3 +33,11 @@ def test_base_spans_buy_no_room_for_wrong_candidates():
         assert 3 not in model.thresholds or model.margin(wrong) < model.thresholds[3]
         both = pii.estimated([(3, base, 800, 160), (3, wrong, 0, k)], [(3, base, 200, 40), (3, wrong, 0, k)])
         assert model.margin(base) > model.margin(wrong) and both.margin(base) >= both.thresholds[3] > both.margin(wrong)
+
+
+def test_kinds_without_a_precise_cut_have_a_threshold_above_all_candidates():
+    base, weak, wrong = features(at=(pii.NAMED, 4, pii.CHECKED)), features(at=(4, pii.CHECKED)), features(at=(1, 3))
+    model = pii.estimated([(3, base, 800, 0), (3, weak, 20, 0), (3, wrong, 0, 90)], [(3, base, 200, 0), (3, wrong, 0, 10)])
+    assert model.margin(wrong) < model.thresholds[3] <= model.margin(base) and model.off == "email,ip,card"
+    assert not pii.estimated([(3, base, 800, 0), (3, base, 0, 0)], min_precision=1.1).thresholds
+    assert not pii.estimated([(3, wrong, 0, 90)]).thresholds

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenstep.llm._common import settled, small_side
+from lumenstep.llm._common import settled, shared_dir, small_side
 
 #: The least neighbour of a node with more links than this is broadcast to its links.
 HOT_LINKS, MAX_BROADCAST_NODES = 128, 1_000_000
@@ -41,16 +43,38 @@ def _forest(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or up = 1 and n > 1").isEmpty()
 
 
+def _written(edges: DataFrame, folder: str) -> DataFrame:
+    """The edges as a table in the folder: its size is that of its files.
+
+    A checkpoint keeps the estimate of the plan it cuts, and the estimate of a join is the
+    product of its sides.  From round to round that product would take the ninth power, in the
+    end numbers of megabytes that fill the driver.
+    """
+    edges.write.parquet(folder)
+    return edges.sparkSession.read.schema(edges.schema).parquet(folder)
+
+
+def _drop(edges: DataFrame, folder: str) -> None:
+    path = edges.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(edges.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of `edges` (u, v) that is not itself the smallest node reachable, its component.
 
     Self links and repeated links do no harm; null ends must not occur.
     A group of links never meets in one task: minima are pre-aggregated and broadcast to
-    the links of hot nodes.  Each round is checkpointed.
+    the links of hot nodes.  Each round is written to the shared folder; a round's table goes
+    when the next one stands.
     """
-    edges = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    folder = f"{shared_dir(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+    edges = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/0")
+    for k in range(max_rounds):
         if _forest(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges = settled(_small_star(_large_star(edges)))
+            found = settled(edges.select(F.col("u").alias("node"), F.col("v").alias("component")))
+            _drop(edges, folder)
+            return found
+        following = _written(_small_star(_large_star(edges)), f"{folder}/{k + 1}")
+        _drop(edges, f"{folder}/{k}")
+        edges = following
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -33,3 +33,20 @@ def test_hubs_chains_and_repeats(spark, monkeypatch, most):
 
 def test_no_links(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """A path numbered at random takes several rounds; by products of estimates each would take the ninth power."""
+    ids = list(range(60))
+    random.Random(4).shuffle(ids)
+    found = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long"))
+    assert {tuple(r) for r in found.select("node", "component").collect()} == {(x, 0) for x in range(1, 60)}
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 64
+
+
+def test_a_long_path_ends(spark):
+    """Ten rounds."""
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    found = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long"))
+    assert found.where("component = 0").count() == found.count() == 2999

@@ -67,3 +67,13 @@ def test_hot_pairs_in_parts_and_clashing_names(spark, monkeypatch):
     assert got == brute(rows)
     out = N.deduplicated(frame)
     assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == sorted(i for i, x in got.items() if x[2])
+
+
+def test_estimates_stay_short(spark):
+    """Texts whose links form a path numbered at random, in both solutions of the components."""
+    words, ids = [f"w{i}" for i in range(300)], list(range(24))
+    random.Random(4).shuffle(ids)
+    rows = [(i, " ".join(words[8 * k : 8 * k + 100])) for k, i in enumerate(ids)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == brute(rows)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 200
